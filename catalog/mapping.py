@@ -104,14 +104,14 @@ def service_name(spark, sf_dir):
 @register("flatten_attrs", f"SELECT event_id, {ATTRS_TEXT_SQL} AS attrs FROM records", RECORDS)
 def flatten_attrs(spark, sf_dir):
     rows = raw_records(spark, sf_dir)
-    flat = rows.select("event_id", rules.flatten_kvs_col(F.col("attributes")).alias("attrs"))
+    flat = rows.select("event_id", rules.flatten_kvs_col("attributes").alias("attrs"))
     return flat.select("event_id", map_text("attrs").alias("attrs"))
 
 
 @register("stringify_value", "SELECT event_id, body FROM records", RECORDS)
 def stringify_value(spark, sf_dir):
     return raw_records(spark, sf_dir).select(
-        "event_id", rules.any_value_col(F.col("body")).alias("body")
+        "event_id", rules.any_value_col("body").alias("body")
     )
 
 
@@ -126,7 +126,8 @@ def stringify_nested(spark, sf_dir):
         """concat('{ "k": "first", "é": {"z": -2.50, "n": 1.0}, "a": [', user_id, """
         """', "x, \\\\"1.0\\\\" {", null, true ], "k": "last" }')"""
     )
-    return raw_records(spark, sf_dir).select("event_id", rules.nested_text_col(text).alias("text"))
+    rows = raw_records(spark, sf_dir).select("event_id", text.alias("json"))
+    return rows.select("event_id", rules.nested_text_col("json").alias("text"))
 
 
 MAPPED_SQL = f"""SELECT k.tenant_id, r.ts, r.severity, r.service, r.trace_id, r.span_id, r.body,

@@ -254,7 +254,7 @@ def dedup_stream(spark, sf_dir):
     stream_dedup(
         source, f"{out}/rows", f"{out}/seen", f"{out}/checkpoint", available_now=True
     ).awaitTermination()
-    return flat(spark.read.schema(rows.schema).parquet(f"{out}/rows"))
+    return flat(spark.read.schema(rows.schema).parquet(f"{out}/rows").drop("batch"))
 
 
 def _finished(spark, stream, label):

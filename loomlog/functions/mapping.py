@@ -16,7 +16,7 @@ NS_PER_DAY = 86_400 * NS_PER_SECOND
 MAX_AGE_NS = 30 * NS_PER_DAY
 MAX_AHEAD_NS = 3_600 * NS_PER_SECOND
 
-# Severity numbers, from, to (both inclusive), name.
+# Severity numbers, from, to (both inclusive), name; in order, without gaps.
 SEVERITY_RANGES = (
     (1, 4, "TRACE"),
     (5, 8, "DEBUG"),
@@ -29,10 +29,6 @@ SEVERITY_RANGES = (
 NANOS_MIN = -(2**63)
 NANOS_MAX = 2**63 - 1
 
-# Marks number literals while a JSON value passes through VARIANT. Raw control
-# characters cannot occur inside valid JSON text, so the input never holds it.
-_MARK = "\x01num:"
-
 
 def _nanos(value: Column | int) -> Column:
     return value if isinstance(value, Column) else F.lit(value).cast("bigint")
@@ -41,10 +37,15 @@ def _nanos(value: Column | int) -> Column:
 def severity_col(number: Column, text: Column) -> Column:
     """Severity name: by number range, else the upper-cased text, else UNSPECIFIED."""
     named = F
-    for low, high, name in SEVERITY_RANGES:
-        named = named.when(number.between(low, high), name)
+    for _low, high, name in SEVERITY_RANGES:
+        named = named.when(number <= high, name)
     text = F.coalesce(text, F.lit(""))
-    return named.when(text != "", F.upper(text)).otherwise("UNSPECIFIED")
+    known = number.between(SEVERITY_RANGES[0][0], SEVERITY_RANGES[-1][1])
+    return (
+        F.when(known, named)
+        .when(text != "", F.upper(text))
+        .otherwise("UNSPECIFIED")
+    )
 
 
 def _acceptable(stamp: Column, now_ns: Column | int) -> Column:
@@ -81,99 +82,137 @@ def clamped_col(time: Column, now_ns: Column | int) -> Column:
 
 def hex_id_col(raw: Column, width: int) -> Column:
     """Lower-case hex of an id of exactly `width` non-zero bytes, else ''."""
-    text = F.lower(F.hex(raw))
-    return F.when(
-        (F.octet_length(raw) == width) & (text != "00" * width), text
-    ).otherwise("")
+    given = (F.octet_length(raw) == width) & (raw != F.lit(bytes(width)))
+    return F.when(given, F.lower(F.hex(raw))).otherwise("")
 
 
 def service_col(resource: Column) -> Column:
     return F.coalesce(resource["service.name"], F.lit("unknown"))
 
 
-def double_text_col(value: Column) -> Column:
-    """Decimal text of a double without exponent and without a trailing '.0'.
+# Values that are not plain text are rare. Their rules are SQL lambdas, which
+# Spark interprets: the long text stays out of the generated code of the hot
+# path, and `transform(array(x), v -> ...)[0]` computes `x` once for all its uses.
 
-    Works on the digits of Spark's own text, so no digit is lost at any size.
-    """
-    text = value.cast("string")
-    sign = F.when(text.startswith("-"), "-").otherwise("")
-    whole = F.regexp_extract(text, r"^-?(\d+)", 1)
-    fraction = F.regexp_replace(F.regexp_extract(text, r"\.(\d+)", 1), "^0$", "")
-    exponent = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
-    digits = F.concat(whole, fraction)
-    # The first `1 + exponent` digits are whole ones; Spark writes one digit
-    # before the point whenever it uses an exponent.
-    padded = F.rpad(digits, F.greatest(exponent + 1, F.length(digits)), "0")
-    rest = padded.substr(exponent + 2, F.length(padded))
-    large = F.concat(
-        sign,
-        padded.substr(F.lit(1), exponent + 1),
-        F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""),
-    )
-    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    return (
-        F.when(F.isnan(value), "NaN")
-        .when(value == float("inf"), "inf")
-        .when(value == float("-inf"), "-inf")
-        .when(exponent.isNull(), F.regexp_replace(text, r"\.0$", ""))
-        .when(exponent < 0, small)
-        .otherwise(large)
-    )
 
+def _double_sql(value: str) -> str:
+    """Decimal text of a double without exponent and without a trailing '.0'.
 
-def nested_text_col(json_text: Column) -> Column:
+    Works on the digits of Spark's own text (`-d.ddE-dd` when there is an
+    exponent, with one digit before the point), so no digit is lost at any size.
+    """
+    parts = r"""named_struct(
+        'sign', if(startswith(t, '-'), '-', ''),
+        'digits', concat(regexp_extract(t, r'^-?(\d)', 1),
+            regexp_replace(regexp_extract(t, r'\.(\d+)', 1), '^0$', '')),
+        'whole', 1 + cast(regexp_extract(t, r'E(-?\d+)$', 1) as int))"""
+    expanded = f"""transform(array({parts}), p -> case
+        when p.whole < 1 then concat(p.sign, '0.', repeat('0', -p.whole), p.digits)
+        when p.whole >= length(p.digits) then concat(p.sign, rpad(p.digits, p.whole, '0'))
+        else concat(p.sign, left(p.digits, p.whole), '.', substr(p.digits, p.whole + 1))
+        end)[0]"""
+    return rf"""transform(array(cast({value} as string)), t -> case
+        when t = 'Infinity' then 'inf' when t = '-Infinity' then '-inf'
+        when contains(t, 'E') then {expanded}
+        else regexp_replace(t, r'\.0$', '') end)[0]"""
+
+
+def _nested_sql(text: str) -> str:
     """Compact JSON: keys sorted, the last of two equal keys kept, numbers as written.
 
     VARIANT does the sorting but rewrites numbers (`1.0` to `1`), so each
-    number outside a string travels as a marked string and is unwrapped after.
+    number outside a string travels as a string that starts with an escaped
+    control character, and is unwrapped after. Raw control characters cannot
+    occur in valid JSON text, so the helpers \\u0002 and \\u0003 are never input.
     """
-    literal = r"""("(?:[^"\\]|\\.)*+")|(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"""
-    opened = F.regexp_replace(json_text, literal, "$1\x02$2\x03")
-    opened = F.regexp_replace(opened, "\x02\x03", "")
-    opened = F.regexp_replace(opened, "\x02([^\x03]*)\x03", f'"{_JSON_MARK}$1"')
-    sorted_text = F.to_json(F.parse_json(opened))
-    return F.regexp_replace(sorted_text, f'"{_JSON_MARK_PATTERN}([^"]*)"', "$1")
+    literal = r"""r'("(?:[^"\\]|\\.)*+")|(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)'"""
+    split = f"regexp_replace(j, {literal}, '$1\\u0002$2\\u0003')"
+    numbers = f"replace({split}, '\\u0002\\u0003', '')"
+    marked = (
+        f"regexp_replace({numbers}, '\\u0002([^\\u0003]*)\\u0003', r'\"\\\\u0001num:$1\"')"
+    )
+    unwrapped = rf"""regexp_replace(to_json(parse_json({marked})), r'"\\u0001num:([^"]*)"', '$1')"""
+    return f"transform(array({text}), j -> {unwrapped})[0]"
+
+
+def _simple_sql(value: str) -> str:
+    return f"""coalesce({value}.string_value, cast({value}.bool_value as string),
+        cast({value}.int_value as string), {_lower_hex(f"{value}.bytes_value")})"""
+
+
+def _any_value_sql(value: str) -> str:
+    return f"""coalesce({_simple_sql(value)},
+        case when {value}.double_value is not null then {_double_sql(f"{value}.double_value")} end,
+        case when {value}.json_value is not null then {_nested_sql(f"{value}.json_value")} end,
+        '')"""
+
+
+def _lower_hex(value: str) -> str:
+    return f"lower(hex({value}))"
 
 
-# The marker as JSON text, once for a replacement and once for a pattern.
-_JSON_MARK = _MARK.replace("\x01", r"\\u0001")
-_JSON_MARK_PATTERN = _MARK.replace("\x01", r"\\u0001")
+def double_text_col(name: str) -> Column:
+    return F.expr(_double_sql(name))
 
 
-def any_value_col(value: Column) -> Column:
+def nested_text_col(name: str) -> Column:
+    return F.expr(_nested_sql(name))
+
+
+def simple_text_col(name: str) -> Column:
+    """Text of a string, boolean, integer or bytes value; NULL for the other kinds."""
+    return F.expr(_simple_sql(name))
+
+
+def any_value_col(name: str) -> Column:
     """Text of an attribute value; a missing value is ''."""
-    return F.coalesce(
-        value["string_value"],
-        value["bool_value"].cast("string"),
-        value["int_value"].cast("string"),
-        F.when(value["double_value"].isNotNull(), double_text_col(value["double_value"])),
-        F.lower(F.hex(value["bytes_value"])),
-        F.when(value["json_value"].isNotNull(), nested_text_col(value["json_value"])),
-        F.lit(""),
-    )
+    return F.expr(_any_value_sql(name))
+
 
+# Key/value lists. A list of text values only, the common case, becomes a map
+# without any per-element lambda, so its whole path is generated code. A list
+# with other values takes `mixed_map_col`.
 
-def flatten_kvs_col(pairs: Column) -> Column:
-    """Key/value list to a string map: last value of a key wins, keys sorted.
 
-    Lists whose values are all plain strings, the common case, avoid the
-    per-element lambda: field access on an array is generated code.
+def all_text_col(pairs: str) -> Column:
+    """True if every key and every value of the list is a string.
+
+    An overlap test answers NULL, neither true nor false, when a NULL is among
+    the elements; comparing with one fixed string turns it into a NULL test.
     """
-    mixed = F.exists(pairs, lambda p: p["key"].isNull() | p["value"]["string_value"].isNull())
-    by_element = F.map_from_arrays(
-        F.transform(pairs, lambda p: F.coalesce(p["key"], F.lit(""))),
-        F.transform(pairs, lambda p: any_value_col(p["value"])),
-    )
-    flat = F.when(mixed, by_element).otherwise(
-        F.map_from_arrays(pairs["key"], pairs["value"]["string_value"])
+    return F.expr(
+        f"coalesce(not arrays_overlap({pairs}.key, array('\\u0001')), false)"
+        f" and coalesce(not arrays_overlap({pairs}.value.string_value, array('\\u0001')), false)"
     )
-    ordered = F.map_from_entries(F.sort_array(F.map_entries(flat)))
-    return F.coalesce(ordered, F.map_from_arrays(_no_strings(), _no_strings()))
 
 
-def _no_strings() -> Column:
-    return F.array().cast("array<string>")
+def sorted_pairs_col(pairs: str) -> Column:
+    """Text pairs in key order; equal keys keep their order of appearance."""
+    position = F.expr(f"case when size({pairs}) > 0 then sequence(1, size({pairs})) end")
+    keys, values = F.col(f"{pairs}.key"), F.col(f"{pairs}.value.string_value")
+    return F.sort_array(F.arrays_zip(keys.alias("k"), position.alias("p"), values.alias("v")))
+
+
+def text_map_col(sorted_pairs: str) -> Column:
+    """Map of sorted text pairs; the last value of a key wins."""
+    return F.expr(f"map_from_arrays({sorted_pairs}.k, {sorted_pairs}.v)")
+
+
+def mixed_map_col(pairs: str) -> Column:
+    """Map of a list with values of any kind: last value wins, keys sorted."""
+    keys = f"transform({pairs}, p -> coalesce(p.key, ''))"
+    values = f"transform({pairs}, p -> {_any_value_sql('p.value')})"
+    built = f"map_from_arrays({keys}, {values})"
+    return F.expr(f"map_from_entries(sort_array(map_entries({built})))")
+
+
+def flatten_kvs_col(pairs: str) -> Column:
+    """Key/value list to a string map: last value of a key wins, keys sorted."""
+    return F.coalesce(mixed_map_col(pairs), empty_map_col())
+
+
+def empty_map_col() -> Column:
+    return F.create_map().cast("map<string,string>")
 
 
 def header_text(value: Column) -> Column:

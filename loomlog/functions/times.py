@@ -129,8 +129,9 @@ def to_nanos(value: int | float | str | None) -> int | None:
             short = abs(number) <= 9_999_999_999
             return clamp_nanos(number * NS_PER_SECOND) if short else number
     elif re.fullmatch(_NUMBER_WITH_POINT[2:-2], text) or isinstance(value, float):
-        scaled = Decimal(float(text) * NS_PER_SECOND)
-        return clamp_nanos(int(scaled.to_integral_value(ROUND_HALF_UP)))
+        scaled = max(float(NANOS_MIN), min(float(NANOS_MAX), float(text) * NS_PER_SECOND))
+        if scaled == scaled:  # not NaN
+            return clamp_nanos(int(Decimal(scaled).to_integral_value(ROUND_HALF_UP)))
     elif found := re.fullmatch(_RFC3339[2:-2], text):
         date, clock, fraction, offset = found.groups()
         moment = dt.datetime.fromisoformat(f"{date}T{clock}{offset.upper()}")

@@ -25,7 +25,7 @@ def with_key_hash(requests: DataFrame) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; no job is run for it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def lookup(

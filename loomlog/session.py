@@ -14,6 +14,8 @@ SQL_SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # ... and so does a key that occurs twice in a nested JSON value.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Upper and lower case by the JVM: equal results, and no second-long start of ICU.
+    "spark.sql.icu.caseMappings.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
@@ -32,6 +34,7 @@ def local_session(cpus: int | str = "*", app: str = "loomlog", **conf: str) -> S
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, SparkSession
-from pyspark.sql import functions as F
 
 # '.' takes any character, '\n' is the only line end, case folding is Unicode's.
 _FLAGS = "(?sdu)"

@@ -47,7 +47,8 @@ def day_of(ns: int) -> dt.date:
 
 def day_col(ts: Column) -> Column:
     """UTC day of a nanosecond stamp, in integer arithmetic (no timestamp cast)."""
-    return F.date_add(F.lit(dt.date(1970, 1, 1)), _div(floor_to(ts, NS_PER_DAY), NS_PER_DAY).cast("int"))
+    days = _div(floor_to(ts, NS_PER_DAY), NS_PER_DAY).cast("int")
+    return F.date_add(F.lit(dt.date(1970, 1, 1)), days)
 
 
 def floor_to(ts: Column, width_ns: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import nanos_col
+from .ordering import MAX_LIMIT
 
 # Widest ids in bytes.
 TRACE_ID_BYTES = 32
@@ -31,18 +32,28 @@ def normalize_time(
 def isolation_violations(logs: DataFrame, tenant: str, results: DataFrame) -> DataFrame:
     """Rows of a search result that are not rows of the tenant that searched.
 
-    `results` is a search result, so it has at most 5000 rows; its rows travel
-    as ids and a body hash, small enough to broadcast whatever the bodies are.
-    The log table itself is not shuffled.
+    Result rows travel as ids and a body hash, so their size does not depend on
+    the bodies. A result whose plan limits it to a search's 5000 rows is
+    broadcast, and the log table is not shuffled; any other is joined as Spark
+    sees fit.
     """
     same = ["ts", "trace_id", "span_id", "service", "severity", "body_hash"]
     seen = results.withColumn("body_hash", F.sha2("body", 256)).select(*same).distinct()
     stored = logs.withColumn("body_hash", F.sha2("body", 256)).select("tenant_id", *same)
     own = F.max(F.when(F.col("tenant_id") == tenant, 1).otherwise(0))
+    most = most_rows(results)
+    if most is not None and most <= MAX_LIMIT:
+        seen = F.broadcast(seen)
     return (
-        stored.join(F.broadcast(seen), same)
+        stored.join(seen, same)
         .groupBy(*same)
         .agg(own.alias("own"))
         .filter(F.col("own") == 0)
         .drop("own")
     )
+
+
+def most_rows(df: DataFrame) -> int | None:
+    """The largest number of rows the plan allows, or None if it sets no limit."""
+    limit = df._jdf.queryExecution().optimizedPlan().maxRows()
+    return int(str(limit.get())) if limit.isDefined() else None

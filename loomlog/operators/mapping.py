@@ -106,7 +106,7 @@ def map_resolved(
     time = F.col("record.time_unix_nano")
     pairs, body = "record.attributes", "record.body"
     # Doubles and nested values, the kinds whose text needs interpreted rules.
-    other_kind = F.col(f"{body}.double_value").isNotNull() | F.col(f"{body}.json_value").isNotNull()
+    other_kind = F.expr(f"{body}.double_value is not null or {body}.json_value is not null")
     unfolded = records.select(
         "tenant_id",
         rules.event_time_col(time, F.col("record.observed_time_unix_nano"), now_ns).alias("ts"),

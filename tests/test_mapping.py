@@ -97,7 +97,8 @@ def test_value_texts(spark):
         [(i, case[0]) for i, case in enumerate(cases)],
         "i int, v " + ANY_VALUE.simpleString(),
     )
-    got = [r.t for r in rows.select("i", rules.any_value_col("v").alias("t")).orderBy("i").collect()]
+    texts = rows.select("i", rules.any_value_col("v").alias("t")).orderBy("i")
+    got = [r.t for r in texts.collect()]
     want = [text for _, text in VALUES]
     # A string that starts with the number marker is the one shape that is not kept.
     marker = next(i for i, text in enumerate(want) if "num:" in text)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mapping import NS_PER_SECOND
 from ..functions.times import floor_to
+from .filters import in_range
 from .ordering import clamp_limit, is_forward, latest_logs
 
 # Bits of a value resolved per ranking level: at most 2**21 values share a level's group.
@@ -22,7 +23,7 @@ def severity_over_time(
     if tenant is not None:
         logs = logs.filter(F.col("tenant_id") == tenant)
     return (
-        logs.filter(F.col("ts").between(start, end))
+        in_range(logs, start, end + 1)
         .groupBy(floor_to(F.col("ts"), bucket_ns).alias("time"), "severity")
         .agg(F.count(F.lit(1)).alias("c"))
         .orderBy("time", "severity")

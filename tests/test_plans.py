@@ -6,21 +6,24 @@ import re
 
 from catalog import fixtures
 from catalog.registry import QUERIES
-from conftest import NOW, plan_of
+from conftest import NOW, log_row, plan_of
 from pyspark.sql import functions as F
 
 from loomlog.operators import aggregates, tenants
+from loomlog.operators.checks import isolation_violations, most_rows
 from loomlog.operators.dedup import dedup, diff_tables
 from loomlog.operators.mapping import map_batches
-from loomlog.schema import EXPORT_BATCHES, STORED_LOGS
+from loomlog.plans.search import log_query
+from loomlog.schema import EXPORT_BATCHES, LOGS
+from loomlog.sources.logs import append_logs, read_logs
 
 SF = "/root/testdata/sf0.001"
 
 
 def stored(spark, tmp_path):
     path = str(tmp_path / "none")
-    spark.createDataFrame([], STORED_LOGS).write.parquet(path)
-    return spark.read.schema(STORED_LOGS).parquet(path)
+    append_logs(spark.createDataFrame([log_row()], LOGS), path, "one")
+    return read_logs(spark, path)
 
 
 def shuffles(plan):
@@ -50,6 +53,18 @@ def test_only_needed_columns_are_read(spark, tmp_path):
     assert "ReadSchema: struct<service:string>" in plan and len(shuffles(plan)) == 1
     plan = plan_of(aggregates.severity_over_time(logs, 0, NOW, 3600 * 10**9))
     assert "ReadSchema: struct<ts:bigint,severity:string>" in plan
+    assert "day#" in plan[plan.index("PartitionFilters"):].split("\n")[0]
+
+
+def test_isolation_check_does_not_shuffle_the_logs(spark, tmp_path):
+    logs = stored(spark, tmp_path)
+    result = log_query(logs, "a", [("service", "!=", "")], now_ns=NOW)
+    plan = plan_of(isolation_violations(logs, "a", result))
+    assert "BroadcastHashJoin" in plan
+    # One small shuffle for the result's distinct rows, one for the counts per row.
+    assert len(shuffles(plan)) <= 2
+    assert "BroadcastHashJoin" in plan_of(isolation_violations(logs, "a", result.limit(7)))
+    assert most_rows(result) == 100 and most_rows(logs) is None
 
 
 def test_one_shuffle_after_a_map_side_combine(spark, tmp_path):

@@ -1 +1,11 @@
-"""Operators for training-data pipelines; nothing outside this package imports them."""
+"""Operators for training-data pipelines; nothing outside this package imports them.
+
+Functions of this package travel to the executors by value, so that these need
+not have it installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

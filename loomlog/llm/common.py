@@ -36,3 +36,13 @@ def held_out(modulus: int, remainder: int, doc_id: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves `remainder`; a null id counts as ''."""
     digits = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     return F.crc32(digits.cast("binary")) % modulus == remainder
+
+
+def in_bytes(frame: DataFrame, megabytes: int = 16) -> DataFrame:
+    """`frame`, to be handed to Python in Arrow batches of about so many megabytes.
+
+    Texts differ a thousandfold in length: a number of rows bounds no memory.
+    """
+    conf = frame.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+    return frame

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import exact_dedup, mixing
-from loomlog.llm.common import table
+from loomlog.llm import exact_dedup, mixing, toxicity
+from loomlog.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,17 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.sample_copies(table(spark, sf_dir, "documents"))
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return drawn.select("doc_id", "size", "source_size", "target", taken)
+
+
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = table(spark, sf_dir, "labels").where(~held_out(4, 2))
+    scored = toxicity.score(docs, toxicity.fit(docs, labelled))
+    return scored.select(
+        "doc_id",
+        held_out(4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "evidence",
+    )

@@ -20,9 +20,14 @@ LETTERS = re.compile(r"[^\W\d_]+")
 STEP = 8
 
 
-def terms_of(text: str | None, prefix: int) -> Counter:
-    """Words cut to their first `prefix` letters (a stem that suits any language), counted."""
-    return Counter([w[:prefix] for w in LETTERS.findall((text or "").lower())])
+@dataclass
+class Prefixes:
+    """Words cut to their first `length` letters (a stem that suits any language), counted."""
+
+    length: int
+
+    def __call__(self, text: str | None) -> Counter:
+        return Counter([w[: self.length] for w in LETTERS.findall((text or "").lower())])
 
 
 def weigh(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import exact_dedup, licenses, mixing, packing, toxicity
+from loomlog.llm import exact_dedup, licenses, mixing, packing, quality, toxicity
 from loomlog.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,12 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("score"),
         "matches",
     )
+
+
+@query()
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = table(spark, sf_dir, "labels").where(~held_out(5, 0))
+    scored = quality.score(docs, quality.fit(docs, labelled))
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", predicted)

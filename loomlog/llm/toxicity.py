@@ -28,10 +28,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from loomlog.llm.common import in_bytes
-from loomlog.llm.nearest import BlockMaxIndex, terms_of
+from loomlog.llm.examples import document_frequencies, labelled_examples, logistic
+from loomlog.llm.nearest import BlockMaxIndex, Prefixes
 
 PER_CLASS = 1000
 #: Neighbours that vote, as a share of the examples of the rarer label.
@@ -51,13 +51,13 @@ class Model:
     k: int
     prior: float
     curve: tuple[float, float]
-    prefix: int
+    terms: Prefixes
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         return vote(self.labels[found], cosine)
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        counts = self.index.numbers(terms_of(text, self.prefix)) if self.index else {}
+        counts = self.index.numbers(self.terms(text)) if self.index else {}
         if not counts:
             return self.prior, []
         found, cosine = self.index.search(counts, self.k)
@@ -72,21 +72,6 @@ def vote(labels: np.ndarray, cosine: np.ndarray) -> float:
     return float((weights * labels).sum() / weights.sum())
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a weighted, lightly damped logistic fit."""
-    design = np.stack([x, np.ones_like(x)], 1)
-    beta = np.zeros(2)
-    for _ in range(50):
-        p = 1.0 / (1.0 + np.exp(-np.clip(design @ beta, -30, 30)))
-        gradient = design.T @ (weights * (y - p)) - 1e-3 * beta
-        hessian = (design * (weights * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, gradient)
-        beta += step / max(1.0, np.abs(step).max() / 5)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(beta[0]), float(beta[1])
-
-
 def fit(
     docs: DataFrame, labelled: DataFrame, per_class: int = PER_CLASS,
     neighbours: float = NEIGHBOURS, prefix: int = PREFIX, idf_power: float = IDF_POWER,
@@ -96,29 +81,18 @@ def fit(
     Of each label the `per_class` rows whose ids hash lowest become examples:
     2 * per_class texts are the most that reach the driver.
     """
-    labels = (
-        labelled.where("toxic IN (0, 1) AND doc_id IS NOT NULL")
-        .groupBy("doc_id")
-        .agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other"))
-        .where("toxic = other")
-        .select("doc_id", "toxic")
-    )
-    totals = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
-    prior = totals.get(1, 0) / max(1, sum(totals.values()))
-    known = docs.select("doc_id", "text").join(labels, "doc_id")
-    examples = {}
-    for label in (0, 1):
-        own = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-        examples |= {r["doc_id"]: (label, terms_of(r["text"], prefix)) for r in own.limit(per_class).collect()}
-    ids = np.array(list(examples), np.int64)
-    toxic = np.array([label for label, _ in examples.values()], np.int64)
-    spread = Counter(t for _, terms in examples.values() for t in terms)
+    terms = Prefixes(prefix)
+    prior, sample = labelled_examples(docs, labelled, "toxic", per_class)
+    ids = np.array([doc_id for doc_id, _, _ in sample], np.int64)
+    toxic = np.array([label for _, label, _ in sample], np.int64)
+    counts_of = [terms(text) for _, _, text in sample]
+    spread = Counter(t for counts in counts_of for t in counts)
     vocabulary = {t: i for i, t in enumerate(sorted(t for t, n in spread.items() if n > 1))}
     if len(set(toxic)) < 2 or not vocabulary:
-        return Model(None, ids, toxic, 1, prior, (0.0, 0.0), prefix)
-    n_docs, df = document_frequencies(docs, vocabulary, prefix)
+        return Model(None, ids, toxic, 1, prior, (0.0, 0.0), terms)
+    n_docs, df = document_frequencies(docs, vocabulary, terms)
     idf = np.log((n_docs + 1.0) / (df + 1.0)) ** idf_power
-    rows = [{vocabulary[t]: c for t, c in terms.items() if t in vocabulary} for _, terms in examples.values()]
+    rows = [{vocabulary[t]: c for t, c in counts.items() if t in vocabulary} for counts in counts_of]
     index = BlockMaxIndex.build(rows, vocabulary, idf)
     k = max(5, round(neighbours * min(toxic.sum(), (1 - toxic).sum())))
     share = np.zeros(len(ids))
@@ -127,29 +101,7 @@ def fit(
         others = np.flatnonzero(found != i)[:k]
         share[i] = vote(toxic[found[others]], cosine[others])
     weights = np.where(toxic == 1, prior / toxic.sum(), (1 - prior) / (1 - toxic).sum()) * len(ids)
-    return Model(index, ids, toxic, k, prior, logistic(share, toxic, weights), prefix)
-
-
-def document_frequencies(
-    docs: DataFrame, vocabulary: dict[str, int], prefix: int
-) -> tuple[int, np.ndarray]:
-    """The number of all documents, and of those that hold each term of the vocabulary."""
-    size = len(vocabulary)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = np.zeros(size + 1, np.int64)
-        for batch in batches:
-            df[size] += len(batch)
-            for text in batch["text"]:
-                df[[vocabulary[t] for t in terms_of(text, prefix) if t in vocabulary]] += 1
-        some = np.flatnonzero(df)
-        yield pd.DataFrame({"term": some, "n": df[some]})
-
-    counted = in_bytes(docs.select("text")).mapInPandas(count, "term bigint, n bigint")
-    df = np.zeros(size + 1, np.int64)
-    for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[r["term"]] = r["n"]
-    return int(df[size]), df[:size]
+    return Model(index, ids, toxic, k, prior, logistic(share, toxic, weights), terms)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

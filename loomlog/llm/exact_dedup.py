@@ -93,31 +93,29 @@ def new_index(spark: SparkSession) -> DigestIndex:
 
 
 def drop_exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of `docs` that stay, with their columns.
+    """The rows of `docs` that stay, with their columns."""
+    index = index or new_index(docs.sparkSession)
+    kept = index.add(docs).where("kept")
+    return one_row_each(docs, kept.select("doc_id", F.unhex("text_sha256").alias("digest")))
+
 
-    Rows equal in id and text are told apart by their other columns; of rows
-    equal in all columns one stays.
+def one_row_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of `docs` whose id and text digest are `chosen` (doc_id, digest), with
+    their columns; of several rows with the same id and text, one.
     """
-    index = index or new_index(docs.sparkSession)
-    kept = index.add(docs).where("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.unhex("text_sha256").alias("_kept_digest")
-    )
     digest = F.unhex(F.sha2(text_of(), 256))
-    marked = docs.withColumn("_digest", digest)
-    stay = marked.join(
-        kept.hint("merge"),
-        (F.col("_digest") == F.col("_kept_digest")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")),
-        "left_semi",
-    )
+    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_of")).distinct()
     # Rows that repeat an id with the same text are rare: only they are compared whole.
-    repeated = (
-        docs.select("doc_id", digest.alias("_digest"))
-        .groupBy("doc_id", "_digest")
-        .count()
-        .where("count > 1")
-        .select(F.col("doc_id").alias("_rep_id"), F.col("_digest").alias("_rep_digest"))
+    times = docs.select("doc_id", digest.alias("_of")).groupBy("doc_id", "_of").count()
+    chosen = stored(
+        chosen.join(
+            times.withColumnRenamed("doc_id", "_doc").withColumnRenamed("_of", "_doc_of").hint("merge"),
+            (F.col("_of") == F.col("_doc_of")) & F.col("_id").eqNullSafe(F.col("_doc")),
+        ).select("_id", "_of", (F.col("count") > 1).alias("_several")),
+        "chosen-rows",
+    )
+    found = docs.withColumn("_digest", digest).join(
+        chosen.hint("merge"), (F.col("_digest") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     )
-    on = (F.col("_digest") == F.col("_rep_digest")) & F.col("doc_id").eqNullSafe(F.col("_rep_id"))
-    single = stay.join(repeated, on, "left_anti")
-    several = stay.join(repeated, on, "left_semi").dropDuplicates(["_digest"])
-    return single.unionByName(several).select(*docs.columns)
+    several = found.where("_several").dropDuplicates(["_digest"])
+    return found.where("NOT _several").unionByName(several).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import exact_dedup, licenses, mixing, packing, quality, toxicity
+from loomlog.llm import exact_dedup, licenses, mixing, near_dedup, packing, quality, toxicity
 from loomlog.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(docs, quality.fit(docs, labelled))
     predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", predicted)
+
+
+@query()
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", "class_size", "first")

@@ -17,7 +17,7 @@ def labelled_examples(
     docs: DataFrame, labelled: DataFrame, label: str, per_class: int
 ) -> tuple[float, list[tuple[int, int, str]]]:
     """The share of label 1 among all labels, and of each label the `per_class`
-    rows (doc_id, label, text) whose ids hash lowest.
+    rows (doc_id, label, text) whose ids hash lowest, among those with a text.
 
     Ids with a null label or with two different ones are left out. At most
     2 * per_class texts reach the driver.
@@ -28,14 +28,17 @@ def labelled_examples(
         .agg(F.min(label).alias("y"), F.max(label).alias("other"))
         .where("y = other")
         .select("doc_id", "y")
+        .join(docs.select("doc_id").hint("merge"), "doc_id", "left_semi")
     )
     totals = {r["y"]: r["count"] for r in labels.groupBy("y").count().collect()}
-    known = docs.select("doc_id", "text").join(labels, "doc_id")
-    rows = []
-    for y in (0, 1):
-        own = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-        rows += [(r["doc_id"], y, r["text"]) for r in own.limit(per_class).collect()]
-    return totals.get(1, 0) / max(1, sum(totals.values())), rows
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    drawn = [labels.where(F.col("y") == y).orderBy(*order).limit(per_class).collect() for y in (0, 1)]
+    of = {r["doc_id"]: r["y"] for rows in drawn for r in rows}
+    # Only the texts of the drawn ids move; an id that repeats gives one of them.
+    ids = docs.sparkSession.createDataFrame([(i,) for i in of], "doc_id bigint")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    text_of = {r["doc_id"]: r["text"] for r in texts.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    return totals.get(1, 0) / max(1, sum(totals.values())), [(i, y, text_of[i]) for i, y in of.items()]
 
 
 def document_frequencies(

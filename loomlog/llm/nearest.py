@@ -2,7 +2,7 @@
 
 The index holds a bounded number of labelled examples. Examples stand in blocks
 of similar ones; for each term and block the largest weight is kept. A query's
-products with these give an upper bound per block, blocks are opened from the
+products with these give an upper bound per block; blocks are opened from the
 largest bound on, and the search ends when no bound left exceeds the k-th best
 cosine found. The result is exactly that of comparing with every example.
 """
@@ -41,75 +41,66 @@ def weigh(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class BlockMaxIndex:
-    """Postings in order of (term, example), with where each block of a term begins."""
+    """Inverted lists cut into blocks of examples, with the largest weight of each cut.
+
+    A block keeps the terms that occur in it and, for each, the weights of its
+    examples; texts are searched many at a time, so that the lists of a block
+    are run through once for all texts that have to open it.
+    """
 
     vocabulary: dict[str, int]
     idf: np.ndarray
     examples: np.ndarray  # of each position: the caller's number of the example
     block: int
-    starts: np.ndarray  # term x (blocks + 1)
-    positions: np.ndarray
-    weights: np.ndarray
-    largest: np.ndarray  # term x blocks
+    terms: list[np.ndarray]  # of each block: its terms
+    lists: list[np.ndarray]  # of each block: term x example
+    largest: np.ndarray  # term x block
 
     @classmethod
     def build(
         cls, rows: list[dict[int, int]], vocabulary: dict[str, int], idf: np.ndarray, block: int = 64
     ) -> BlockMaxIndex:
         """`rows`: for each example its counts by term number."""
-        n, width = len(rows), len(vocabulary)
-        dense = np.zeros((n, width), np.float32)
+        dense = np.zeros((len(rows), len(vocabulary)), np.float32)
         for i, counts in enumerate(rows):
             ids, weights = weigh(counts, idf)
             dense[i, ids] = weights
         order = similar_first(dense)
-        dense = dense[order]
-        blocks = max(1, -(-n // block))
-        term, position = np.nonzero(dense.T)
-        slot = position // block
-        starts = np.zeros((width, blocks + 1), np.int64)
-        np.add.at(starts, (term, slot + 1), 1)
-        begin = np.concatenate([[0], np.cumsum(starts.sum(1))[:-1]])
-        starts = begin[:, None] + np.cumsum(starts, axis=1)
-        weights = dense[position, term]
-        largest = np.zeros((width, blocks), np.float32)
-        np.maximum.at(largest, (term, slot), weights)
-        return cls(vocabulary, idf, order, block, starts, position, weights, largest)
+        cuts = [dense[order[i : i + block]] for i in range(0, len(order), block)]
+        terms = [np.flatnonzero(cut.any(0)) for cut in cuts]
+        lists = [np.ascontiguousarray(cut[:, t].T) for cut, t in zip(cuts, terms)]
+        largest = np.stack([cut.max(0) for cut in cuts], 1)
+        return cls(vocabulary, idf, order, block, terms, lists, largest)
 
     def numbers(self, counts: Counter) -> dict[int, int]:
         return {self.vocabulary[t]: c for t, c in counts.items() if t in self.vocabulary}
 
-    def search(self, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples nearest to a text with these counts, nearest first, and
-        their cosines; ties to the example that stands first in the index."""
-        ids, weights = weigh(counts, self.idf)
-        n, blocks = len(self.examples), self.largest.shape[1]
+    def search(self, queries: list[dict[int, int]], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each text (its counts by term number) the k nearest examples, nearest
+        first, and their cosines; ties to the example that stands first in the index."""
+        n, blocks = len(self.examples), len(self.lists)
         k = min(k, n)
-        bound = weights.astype(np.float32) @ self.largest[ids]
-        opened = np.argsort(-bound, kind="stable")
-        cosine = np.full(n, -1.0)
-        floor = -1.0
+        weights = np.zeros((len(queries), len(self.vocabulary)), np.float32)
+        for i, counts in enumerate(queries):
+            ids, own = weigh(counts, self.idf)
+            weights[i, ids] = own
+        bound = weights @ self.largest + 1e-5  # more than rounding can take away
+        order = np.argsort(-bound, axis=1, kind="stable")
+        cosine = np.full((len(queries), n), -1.0, np.float32)
+        floor = np.full(len(queries), -1.0, np.float32)
         for at in range(0, blocks, STEP):
-            some = opened[at : at + STEP]
-            some = some[bound[some] * (1 + 1e-5) + 1e-6 >= floor]
-            if not len(some):
+            some = order[:, at : at + STEP]
+            wanted = np.take_along_axis(bound, some, 1) >= floor[:, None]
+            if not wanted.any():
                 break
-            begin = self.starts[ids[:, None], some].ravel()
-            count = self.starts[ids[:, None], some + 1].ravel() - begin
-            total = int(count.sum())
-            shift = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-            at_posting = shift + np.arange(total)
-            factor = np.repeat(np.repeat(weights, len(some)), count)
-            found = np.bincount(
-                self.positions[at_posting], self.weights[at_posting] * factor, minlength=n
-            )
-            for b in some:
-                cosine[b * self.block : (b + 1) * self.block] = found[
-                    b * self.block : (b + 1) * self.block
-                ]
-            floor = np.partition(cosine, n - k)[n - k]
-        best = np.argsort(-cosine, kind="stable")[:k]
-        return self.examples[best], cosine[best]
+            for b in np.unique(some[wanted]):
+                rows = np.flatnonzero(((some == b) & wanted).any(1))
+                lists, first = self.lists[b], b * self.block
+                found = weights[np.ix_(rows, self.terms[b])] @ lists
+                cosine[rows, first : first + lists.shape[1]] = found
+            floor = np.partition(cosine, n - k, axis=1)[:, n - k]
+        best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+        return self.examples[best], np.take_along_axis(cosine, best, 1).astype(np.float64)
 
 
 def similar_first(dense: np.ndarray) -> np.ndarray:

@@ -38,6 +38,8 @@ PER_CLASS = 1000
 NEIGHBOURS = 0.12
 PREFIX = 4
 IDF_POWER = 2
+#: Texts searched together.
+BLOCK = 256
 SCORES = (
     "doc_id bigint, score double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>"
 )
@@ -53,18 +55,22 @@ class Model:
     curve: tuple[float, float]
     terms: Prefixes
 
-    def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
-        return vote(self.labels[found], cosine)
-
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        counts = self.index.numbers(self.terms(text)) if self.index else {}
-        if not counts:
-            return self.prior, []
-        found, cosine = self.index.search(counts, self.k)
+    def score(self, texts: list[str | None]) -> Iterator[tuple[float, list[tuple[int, int, float]]]]:
+        """For each text its score and the evidence."""
+        if self.index is None:
+            yield from ((self.prior, []) for _ in texts)
+            return
         a, b = self.curve
-        score = 1.0 / (1.0 + np.exp(-(a * self.vote(found, cosine) + b)))
-        seen = [(int(self.ids[i]), int(self.labels[i]), float(c)) for i, c in zip(found[:5], cosine[:5])]
-        return float(score), seen
+        for i in range(0, len(texts), BLOCK):
+            queries = [self.index.numbers(self.terms(t)) for t in texts[i : i + BLOCK]]
+            found, cosine = self.index.search(queries, self.k)
+            for counts, near, cos in zip(queries, found, cosine):
+                if not counts:
+                    yield self.prior, []
+                    continue
+                score = 1.0 / (1.0 + np.exp(-(a * vote(self.labels[near], cos) + b)))
+                evidence = zip(self.ids[near[:5]], self.labels[near[:5]], cos[:5])
+                yield float(score), [(int(d), int(y), float(c)) for d, y, c in evidence]
 
 
 def vote(labels: np.ndarray, cosine: np.ndarray) -> float:
@@ -96,10 +102,10 @@ def fit(
     index = BlockMaxIndex.build(rows, vocabulary, idf)
     k = max(5, round(neighbours * min(toxic.sum(), (1 - toxic).sum())))
     share = np.zeros(len(ids))
-    for i, counts in enumerate(rows):  # its own vote left out
-        found, cosine = index.search(counts, k + 1)
-        others = np.flatnonzero(found != i)[:k]
-        share[i] = vote(toxic[found[others]], cosine[others])
+    found, cosine = index.search(rows, k + 1)
+    for i, (near, cos) in enumerate(zip(found, cosine)):  # its own vote left out
+        others = np.flatnonzero(near != i)[:k]
+        share[i] = vote(toxic[near[others]], cos[others])
     weights = np.where(toxic == 1, prior / toxic.sum(), (1 - prior) / (1 - toxic).sum()) * len(ids)
     return Model(index, ids, toxic, k, prior, logistic(share, toxic, weights), terms)
 
@@ -109,7 +115,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            scored = [model.score(t) for t in batch["text"]]
+            scored = list(model.score(batch["text"].tolist()))
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],
@@ -129,6 +135,6 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataF
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[[model.score(t)[0] < threshold for t in batch["text"]]]
+            yield batch[[s < threshold for s, _ in model.score(batch["text"].tolist())]]
 
     return in_bytes(docs).mapInPandas(per_batch, schema).select(*columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import exact_dedup, licenses, mixing, near_dedup, packing, quality, toxicity
+from loomlog.llm import class_lm, exact_dedup, licenses, mixing, near_dedup, packing, quality, toxicity
 from loomlog.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", "class_id", "class_size", "first")
+
+
+@query()
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = class_lm.score(table(spark, sf_dir, "documents"), ~held_out(7, 2))
+    return scored.select(
+        "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score",
+    )

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import class_lm, exact_dedup, licenses, mixing, near_dedup, packing, quality, toxicity
-from loomlog.llm.common import held_out, table
+from loomlog.llm import class_lm, exact_dedup, graph_ann, licenses, mixing, near_dedup, packing, quality, toxicity
+from loomlog.llm.common import held_out, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,3 +149,11 @@ def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
         "base_score", "score",
     )
+
+
+@query()
+def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = stored(graph_ann.valid(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "ann-rows")
+    index = graph_ann.build_index(vectors, keep=6)
+    found = graph_ann.search(index, vectors.where("id % 50 = 0"), k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

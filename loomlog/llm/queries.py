@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import class_lm, exact_dedup, graph_ann, licenses, mixing, near_dedup, packing, quality, toxicity
+from loomlog.llm import class_lm, disclosure, exact_dedup, graph_ann, licenses, mixing, near_dedup, packing, quality, toxicity
 from loomlog.llm.common import held_out, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,18 @@ def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = graph_ann.build_index(vectors, keep=6)
     found = graph_ann.search(index, vectors.where("id % 50 = 0"), k=5)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query()
+def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.find(table(spark, sf_dir, "documents"))
+    counts = [
+        F.size(F.filter("base", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{kind}")
+        for n, kind in enumerate(disclosure.KINDS)
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(disclosure.written(F.col("base")), 256).alias("base_sha256"),
+        disclosure.written(F.array_sort(F.concat("base", "terms"))).alias("spans"),
+    )

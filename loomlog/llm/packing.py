@@ -19,6 +19,7 @@ are ignored, whatever their names. An empty table gives no pieces.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -33,7 +34,9 @@ END_ID = 2
 POOL_TOKENS = 4_000_000
 STEP_TOKENS = 1 << 17
 #: Words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: Marks that may end a word; an apostrophe can begin a part of its own.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint,"
     " sequence_id bigint, offset bigint, window int, step_group bigint"
@@ -43,8 +46,10 @@ PIECES = (
 class WordTokenizer:
     """Ids of texts as little-endian 32-bit numbers, with a memory for words.
 
-    For tokenizers that never join what blanks or line feeds separate and drop
-    these; then a text's ids are those of its words in turn.
+    For tokenizers that drop blanks and line feeds, never join what these
+    separate, ignore the case of A-Z, and part letters from the marks that follow.
+    Then a text's ids are those of its words in turn, a word's those of its letters
+    and of the marks at its end. Letters are encoded many words at a time.
     """
 
     def __init__(self, definition: str):
@@ -57,14 +62,39 @@ class WordTokenizer:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words} - self.known.keys())
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for word, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.known[word] = b"".join(n.to_bytes(4, "little") for n in got.ids)
+        self.learn(set().union(*split).difference(self.known))
         ids = self.known.__getitem__
         return [b"".join(map(ids, words)) for words in split]
 
+    def learn(self, words: set[str]) -> None:
+        known, parts, letters, others = self.known, [], set(), set()
+        for word in words:
+            stem = word.rstrip(MARKS)
+            low = stem.lower()
+            if low.isalpha():  # also no letter that becomes letter and mark
+                low = low if stem.isascii() else stem
+                parts.append((word, low, word[len(stem) :]))
+            else:
+                others.add(word)
+        letters.update(low for _, low, _ in parts)
+        others.update(marks for _, _, marks in parts)
+        letters, others = list(letters.difference(known)), list(others.difference(known))
+        for i in range(0, len(letters), 2000):
+            some = letters[i : i + 2000]
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            of, numbers = got.word_ids, array("I", got.ids).tobytes()
+            starts = [at for at, (a, b) in enumerate(zip([None, *of], of)) if a != b]
+            if len(starts) == len(some):
+                ends = [*starts[1:], len(of)]
+                known.update((w, numbers[4 * a : 4 * b]) for w, a, b in zip(some, starts, ends))
+            else:  # some letter falls into several parts
+                others += some
+        for i in range(0, len(others), 20_000):
+            some = others[i : i + 20_000]
+            for word, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
+                known[word] = array("I", got.ids).tobytes()
+        known.update((word, known[a] + known[b]) for word, a, b in parts)
+
 
 class Packer:
     """Packs (doc_id, ids) into windows; `packed` gives pieces as rows of PIECES."""

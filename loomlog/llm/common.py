@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from loomlog.session import scratch_path
 
-#: Characters between words: space, tab, line feed, vertical tab, form feed, return.
-SPACES = "\t\n\x0b\x0c\r "
-
 
 def stored(frame: DataFrame, label: str) -> DataFrame:
     """`frame` written to the cluster's shared scratch folder and read again.
@@ -46,3 +48,29 @@ def in_bytes(frame: DataFrame, megabytes: int = 16) -> DataFrame:
     conf = frame.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
     return frame
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def map_texts(
+    docs: DataFrame, keep: str, make: Callable[[], Callable[[list[str | None]], Iterable[tuple]]], new: str
+) -> DataFrame:
+    """Columns `keep` of `docs` (DDL) and the columns `new` (DDL) computed from `text`.
+
+    `make` is called once in each task and gives the function from a batch's texts
+    to its rows. What is kept goes through as Arrow, so that ids beside nulls stay whole.
+    """
+    schema, kept = arrow_schema(f"{keep}, {new}"), [c.split()[0] for c in keep.split(", ")]
+    added = schema.names[len(kept) :]
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            rows = list(compute(batch.column("text").to_pylist()))
+            columns = [batch.column(c).cast(schema.field(c).type) for c in kept]
+            columns += [pa.array([r[i] for r in rows], schema.field(c).type) for i, c in enumerate(added)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return in_bytes(docs.select(*dict.fromkeys([*kept, "text"]))).mapInArrow(per_task, f"{keep}, {new}")

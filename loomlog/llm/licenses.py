@@ -19,10 +19,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from loomlog.llm.common import in_bytes
+from loomlog.llm.common import map_texts
 
 #: Phrases and their labels.
 PHRASES = (
@@ -59,7 +58,7 @@ FOLD = bytes(
     for b in range(256)
 )
 FOUND = (
-    "doc_id bigint, n_words bigint,"
+    "n_words bigint,"
     " matches array<struct<label:string,base:boolean,first_word:bigint,end_word:bigint>>"
 )
 
@@ -177,15 +176,14 @@ class Scanner:
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """doc_id, n_words and all matches with their places, per row of `docs`."""
 
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(phrases, templates)
-        names = ("label", "base", "first_word", "end_word")
-        for batch in batches:
-            counts, matches = [], []
-            for text in batch["text"]:
+    def make():
+        scanner, names = Scanner(phrases, templates), ("label", "base", "first_word", "end_word")
+
+        def rows(texts: list[str | None]) -> Iterator[tuple]:
+            for text in texts:
                 words = words_of(text)
-                counts.append(len(words))
-                matches.append([dict(zip(names, m)) for m in scanner.matches(words)])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_words": counts, "matches": matches})
+                yield len(words), [dict(zip(names, m)) for m in scanner.matches(words)]
+
+        return rows
 
-    return in_bytes(docs.select("doc_id", "text")).mapInPandas(per_batch, FOUND)
+    return map_texts(docs, "doc_id bigint", make, FOUND)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import in_bytes, stored, text_of
+from loomlog.llm.common import in_bytes, map_texts, stored, text_of
 from loomlog.llm.components import components
 from loomlog.llm.exact_dedup import one_row_each
 
@@ -195,16 +195,13 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> Da
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
     digest = F.unhex(F.sha2(text_of(), 256)).alias("digest")
 
-    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sample():
         hashes, sampler = WordHashes(), Sampler()
-        for batch in batches:
-            bands = [sampler.bands_of(*weighted_shingles(hashes(t), idf.value)) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "bands": bands})
+        bands = lambda t: sampler.bands_of(*weighted_shingles(hashes(t), idf.value))
+        return lambda texts: ((bands(t),) for t in texts)
 
     rows = stored(
-        in_bytes(docs.select("doc_id", "text", digest)).mapInPandas(
-            sample, "doc_id bigint, digest binary, bands array<bigint>"
-        ),
+        map_texts(docs.select("doc_id", "text", digest), "doc_id bigint, digest binary", sample, "bands array<bigint>"),
         "near-samples",
     )
     nodes = stored(
@@ -225,13 +222,10 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> Da
     candidates = members.select("node").distinct()
     wanted = nodes.join(candidates, "node", "left_semi").select("node", "digest", "doc_id")
 
-    def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shingle():
         hashes = WordHashes()
-        for batch in batches:
-            sets = [weighted_shingles(hashes(t), idf.value) for t in batch["text"]]
-            yield pd.DataFrame(
-                {"node": batch["node"], "keys": [k.tobytes() for k, _ in sets], "weights": [w.tobytes() for _, w in sets]}
-            )
+        sets = lambda t: weighted_shingles(hashes(t), idf.value)
+        return lambda texts: (tuple(part.tobytes() for part in sets(t)) for t in texts)
 
     texts = docs.select("text", digest, F.col("doc_id").alias("id"))
     own = wanted.join(
@@ -240,7 +234,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> Da
     ).select("node", "text", wanted["digest"])
     own = own.dropDuplicates(["digest"])  # the join has dealt the rows by digest already
     shingles = stored(
-        in_bytes(own).mapInPandas(shingle, "node bigint, keys binary, weights binary"), "near-shingles"
+        map_texts(own, "node bigint", shingle, "keys binary, weights binary"), "near-shingles"
     )
     pairs = members.where("node != pivot").select(
         F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")

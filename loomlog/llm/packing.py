@@ -23,10 +23,10 @@ from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomlog.llm.common import in_bytes
+from loomlog.llm.common import arrow_schema, in_bytes
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
@@ -99,12 +99,13 @@ class WordTokenizer:
 class Packer:
     """Packs (doc_id, ids) into windows; `packed` gives pieces as rows of PIECES."""
 
-    def __init__(self, tiers: tuple[int, ...], step_tokens: int, first_id: int):
+    def __init__(self, tiers: tuple[int, ...], step_tokens: int, first_id: int, schema: pa.Schema):
         self.tiers, self.step_tokens, self.first_id = sorted(tiers), step_tokens, first_id
         self.pool: list[tuple[int, int, int, tuple]] = []  # length, order, start, document
         self.waiting = self.order = self.sequences = 0
         self.filled: dict[int, int] = {}
         self.rows: list[tuple] = []
+        self.schema = schema
 
     def add(self, doc_id, ids: bytes) -> None:
         size, longest = len(ids) // 4, self.tiers[-1]
@@ -173,10 +174,11 @@ class Packer:
             self.close(window, pieces)
             self.waiting -= window
 
-    def packed(self) -> pd.DataFrame:
+    def packed(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
-        names = [column.split()[0] for column in PIECES.split(",")]
-        return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+        columns = zip(*rows) if rows else [()] * len(self.schema)
+        arrays = [pa.array(c, f.type) for c, f in zip(columns, self.schema)]
+        return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
 
 
 def pack(
@@ -190,25 +192,26 @@ def pack(
         definition = file.read()
     end = end_id.to_bytes(4, "little")
 
-    def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = arrow_schema(PIECES)
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = WordTokenizer(definition)
-        packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << 32)
+        packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << 32, schema)
         for batch in batches:
-            texts = batch["text"].fillna("").tolist()
-            ids = None if batch["doc_id"].isna().all() else batch["doc_id"].astype("Int64")
-            ids = [None] * len(batch) if ids is None else [None if pd.isna(i) else int(i) for i in ids]
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for i in range(0, len(texts), 500):
-                for doc_id, encoded in zip(ids[i : i + 500], tokenizer.encode(texts[i : i + 500])):
-                    packer.add(doc_id, encoded + end)
+                encoded = tokenizer.encode([t or "" for t in texts[i : i + 500]])
+                for doc_id, tokens in zip(ids[i : i + 500], encoded):
+                    packer.add(doc_id, tokens + end)
                 if packer.waiting >= POOL_TOKENS:
                     packer.pack()
                 yield packer.packed()
         packer.pack(last=True)
         yield packer.packed()
 
-    return in_bytes(docs.select("doc_id", "text")).mapInPandas(per_partition, PIECES)
+    return in_bytes(docs.select("doc_id", "text")).mapInArrow(per_task, PIECES)

@@ -25,14 +25,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from loomlog.llm.common import in_bytes
+from loomlog.llm.common import map_texts
 from loomlog.llm.examples import document_frequencies, labelled_examples, logistic
 from loomlog.llm.nearest import weigh
 
@@ -173,9 +171,5 @@ def principal(matrix: np.ndarray, dimensions: int) -> tuple[np.ndarray, np.ndarr
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) per row of `docs`."""
-
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": model.score(batch["text"].tolist())})
-
-    return in_bytes(docs.select("doc_id", "text")).mapInPandas(per_batch, "doc_id bigint, score double")
+    rows = lambda texts: ((float(s),) for s in model.score(texts))
+    return map_texts(docs, "doc_id bigint", lambda: rows, "score double")

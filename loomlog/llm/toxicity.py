@@ -26,10 +26,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomlog.llm.common import in_bytes
+from loomlog.llm.common import in_bytes, map_texts
 from loomlog.llm.examples import document_frequencies, labelled_examples, logistic
 from loomlog.llm.nearest import BlockMaxIndex, Prefixes
 
@@ -40,9 +40,7 @@ PREFIX = 4
 IDF_POWER = 2
 #: Texts searched together.
 BLOCK = 256
-SCORES = (
-    "doc_id bigint, score double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>"
-)
+SCORES = "score double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>"
 
 
 @dataclass
@@ -113,28 +111,19 @@ def fit(
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, evidence (nearest examples with label and cosine) per row of `docs`."""
 
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            scored = list(model.score(batch["text"].tolist()))
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "score": [s for s, _ in scored],
-                    "evidence": [
-                        [{"doc_id": i, "toxic": y, "cosine": c} for i, y, c in seen] for _, seen in scored
-                    ],
-                }
-            )
+    def rows(texts: list[str | None]) -> Iterator[tuple]:
+        for value, seen in model.score(texts):
+            yield value, [{"doc_id": i, "toxic": y, "cosine": c} for i, y, c in seen]
 
-    return in_bytes(docs.select("doc_id", "text")).mapInPandas(per_batch, SCORES)
+    return map_texts(docs, "doc_id bigint", lambda: rows, SCORES)
 
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of `docs` that score below the threshold, with their columns."""
-    columns, schema = docs.columns, docs.schema
 
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch[[s < threshold for s, _ in model.score(batch["text"].tolist())]]
+            clean = [s < threshold for s, _ in model.score(batch.column("text").to_pylist())]
+            yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return in_bytes(docs).mapInPandas(per_batch, schema).select(*columns)
+    return in_bytes(docs).mapInArrow(per_task, docs.schema)

@@ -65,7 +65,7 @@ def log_query_panel(spark, sf_dir):
     return flat(
         search.log_query(
             logs(spark, sf_dir), TENANT, [("service", "=~", ".+")],
-            start=MONTH_START, limit=9999, now_ns=NOW,
+            start=MONTH_START, limit=5000, now_ns=NOW,
         )
     )
 

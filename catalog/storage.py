@@ -11,7 +11,7 @@ from loomlog.plans import search
 from loomlog.plans.alerts import alert_rates, flush_p99_approx
 from loomlog.session import scratch_path
 from loomlog.sources.export import read_export_batches
-from loomlog.sources.logs import append_logs, apply_retention, read_logs, scan_logs
+from loomlog.sources.logs import append_logs, apply_retention, compact_days, read_logs, scan_logs
 from loomlog.streaming.dedup import stream_dedup
 from loomlog.streaming.ingest import stream_ingest, stream_rejects
 
@@ -73,6 +73,29 @@ def append(spark, sf_dir):
     )
 
 
+@register(
+    "replay_smaller_load",
+    f"SELECT tenant_id, {FLAT} FROM logs WHERE ts >= {MONTH_START + 9 * DAY}",
+    (LOGS_SQL,),
+)
+def replay(spark, sf_dir):
+    """All rows under one load, then a replay with the later days only."""
+    path, rows = scratch_path(spark, "replay"), logs(spark, sf_dir)
+    append_logs(rows, path, "load")
+    append_logs(rows.filter(F.col("ts") >= MONTH_START + 9 * DAY), path, "load")
+    return flat(read_logs(spark, path))
+
+
+@register("compact_days", f"SELECT tenant_id, {FLAT} FROM logs", (LOGS_SQL,))
+def compact(spark, sf_dir):
+    """Three loads of all days, rewritten as one load per day."""
+    path, rows = scratch_path(spark, "compact"), logs(spark, sf_dir)
+    for part in range(3):
+        append_logs(rows.filter(F.pmod(F.xxhash64("span_id"), F.lit(3)) == part), path, f"load-{part}")
+    compact_days(spark, path, NOW + DAY)
+    return flat(read_logs(spark, path))
+
+
 @register(
     "log_query_stored",
     f"""SELECT {FLAT} FROM logs WHERE {IN_MONTH} AND ts >= {NOW - 10 * DAY}
@@ -179,23 +202,21 @@ def _landed(spark, sf_dir):
     return path
 
 
-def _ingest(spark, sf_dir, metrics=None):
+def _ingest(spark, sf_dir, metrics=None, streams=1):
     """Landed batches through the stream, several micro-batches; the stored table's path."""
-    source = read_export_batches(
-        spark, _landed(spark, sf_dir), "parquet", streaming=True, maxFilesPerTrigger=2
-    )
-    out = scratch_path(spark, "ingest")
-    query = stream_ingest(
-        source,
-        lambda: api_keys(spark, sf_dir),
-        f"{out}/logs",
-        f"{out}/checkpoint",
-        f"{out}/dead",
-        metrics=metrics,
-        now_ns=NOW,
-        available_now=True,
-    )
-    query.awaitTermination()
+    landed, out = _landed(spark, sf_dir), scratch_path(spark, "ingest")
+    for number in range(streams):
+        source = read_export_batches(spark, landed, "parquet", streaming=True, maxFilesPerTrigger=2)
+        stream_ingest(
+            source,
+            lambda: api_keys(spark, sf_dir),
+            f"{out}/logs",
+            f"{out}/checkpoint-{number}",
+            f"{out}/dead",
+            metrics=metrics,
+            now_ns=NOW,
+            available_now=True,
+        ).awaitTermination()
     return f"{out}/logs"
 
 
@@ -204,6 +225,12 @@ def ingest(spark, sf_dir):
     return flat_maps(read_logs(spark, _ingest(spark, sf_dir)))
 
 
+@register("two_streams_one_table", f"{MAPPED_SQL} UNION ALL {MAPPED_SQL}", (RECORDS_SQL, KEYS_SQL))
+def two_streams(spark, sf_dir):
+    """Two streams with equal names and own checkpoints store into one table."""
+    return flat_maps(read_logs(spark, _ingest(spark, sf_dir, streams=2)))
+
+
 @register(
     "batch_metrics",
     f"""SELECT CAST(count(*) AS BIGINT) AS rows, CAST(sum(clamped::INT) AS BIGINT) AS clamped,

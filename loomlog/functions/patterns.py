@@ -1,10 +1,21 @@
-"""Regular expressions for searches: a common linear-time subset, made exact for Java."""
+"""Regular expressions for searches: the linear-time dialect, whatever runs it.
+
+A pattern is compiled once on the driver by Arrow's matcher, which takes just this
+dialect and refuses what is not in it. Patterns that Java runs alike stay
+expressions of Spark. Those it doesn't - a repeated group, in which Java's matcher
+recurses until a long text ends the executor, and flags inside a pattern, which
+mean other things there - go through one vectorised Arrow function, whose time is
+linear in the text.
+"""
 
 from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 # '.' takes any character, '\n' is the only line end, case folding is Unicode's.
 _FLAGS = "(?sdu)"
@@ -15,6 +26,7 @@ _ESCAPES = {
     r"\B": r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))",
     r"\s": r"[\t\n\f\r ]",
     r"\S": r"[^\t\n\f\r ]",
+    r"\v": r"\x0B",
 }
 
 # Named character classes and their Java names.
@@ -86,9 +98,47 @@ def _java_class(token: str) -> str:
     return opening.replace("]", r"\]") + "".join(pieces) + "]"
 
 
+def runs_alike(pattern: str) -> bool:
+    """Whether Java gives the same answers for the pattern, and safely on any text."""
+    tokens = _TOKEN.findall(pattern)
+    for before, token in zip(["", *tokens], tokens):
+        if before == ")" and token in ("*", "+", "{"):
+            return False
+        if token.startswith("(?") and re.fullmatch(r"\(\?[A-Za-z-]+[:)]", token):
+            return False
+    return True
+
+
+def arrow_match(text: Column, pattern: str, anchored: bool = False) -> Column:
+    """Whether the text holds the pattern, by Arrow's linear-time matcher."""
+    expression = _arrow_pattern(pattern, anchored)
+
+    @F.arrow_udf("boolean")
+    def matches(texts: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(texts, expression)
+
+    return matches(text)
+
+
+def _arrow_pattern(pattern: str, anchored: bool = False) -> str:
+    body = "".join(
+        "(?P<" + token[3:] if re.fullmatch(r"\(\?<[A-Za-z]\w*>", token) else token
+        for token in _TOKEN.findall(pattern)
+    )
+    return rf"(?s)\A(?:{body})\z" if anchored else f"(?s){body}"
+
+
+def _check_dialect(pattern: str) -> None:
+    try:
+        pc.match_substring_regex(pa.array(["x"]), _arrow_pattern(pattern))
+    except pa.ArrowInvalid as error:
+        raise ValueError(f"invalid regular expression: {pattern!r}") from error
+
+
 def check_pattern(spark: SparkSession, pattern: str, anchored: bool = False) -> str:
     """Compile on the driver, so that a bad pattern fails before any task runs."""
     compiled = java_pattern(pattern, anchored)
+    _check_dialect(pattern)
     try:
         spark.sql("SELECT 'x' RLIKE :p AS ok", args={"p": compiled}).collect()
     except Exception as error:
@@ -113,14 +163,16 @@ def full_match(spark: SparkSession, text: Column, pattern: str) -> Column:
     options = pattern.split("|")
     if all(_PLAIN.fullmatch(option) for option in options):
         return text == pattern if len(options) == 1 else text.isin(options)
-    return text.rlike(check_pattern(spark, pattern, anchored=True))
+    compiled = check_pattern(spark, pattern, anchored=True)
+    return text.rlike(compiled) if runs_alike(pattern) else arrow_match(text, pattern, anchored=True)
 
 
 def search_match(spark: SparkSession, text: Column, pattern: str) -> Column:
     """`pattern` occurs somewhere in `text`."""
     if _PLAIN.fullmatch(pattern):
         return text.contains(pattern)
-    return text.rlike(check_pattern(spark, pattern))
+    compiled = check_pattern(spark, pattern)
+    return text.rlike(compiled) if runs_alike(pattern) else arrow_match(text, pattern)
 
 
 def valid_trace_id_col(text: Column) -> Column:

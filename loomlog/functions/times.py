@@ -27,18 +27,29 @@ def clamp_nanos(value: int) -> int:
     return max(NANOS_MIN, min(NANOS_MAX, value))
 
 
-def resolve_range(start: int | None, end: int | None, now_ns: int) -> tuple[int, int]:
-    """End defaults to now, start to one hour before it; at most 31 days wide."""
+def resolve_range(
+    start: int | None, end: int | None, now_ns: int, widest: int | None = MAX_RANGE_NS
+) -> tuple[int, int]:
+    """End defaults to now, start to one hour before it.
+
+    A range wider than `widest` is refused, never narrowed; None allows any.
+    """
     end = clamp_nanos(now_ns if end is None else end)
     start = clamp_nanos(end - DEFAULT_RANGE_NS if start is None else start)
-    return max(start, clamp_nanos(end - MAX_RANGE_NS)), end
+    if widest is not None and end - start > widest:
+        raise ValueError(f"a range of {end - start} ns is wider than {widest}; pass widest to change it")
+    return start, end
 
 
-def resolve_range_cols(start: Column, end: Column, now_ns: int) -> tuple[Column, Column]:
-    """The same rule for a table of saved searches."""
+def resolve_range_cols(
+    start: Column, end: Column, now_ns: int, widest: int | None = MAX_RANGE_NS
+) -> tuple[Column, Column]:
+    """The defaults for a table of saved searches; here a wider range keeps its last
+    `widest` nanoseconds, as a column can refuse nothing. None allows any.
+    """
     end = F.coalesce(end, F.lit(now_ns).cast("bigint"))
     start = F.coalesce(start, saturating_minus(end, DEFAULT_RANGE_NS))
-    return F.greatest(start, saturating_minus(end, MAX_RANGE_NS)), end
+    return start if widest is None else F.greatest(start, saturating_minus(end, widest)), end
 
 
 def day_of(ns: int) -> dt.date:
@@ -89,8 +100,13 @@ def _rfc3339_to_nanos(text: Column) -> Column:
     def part(group: int) -> Column:
         return F.regexp_extract(text, _RFC3339, group)
 
-    moment = F.concat(part(1), F.lit("T"), part(2), F.upper(part(4))).try_cast("timestamp")
-    seconds = F.unix_seconds(moment)
+    # The offset is taken from the text too: timestamps allow 18 hours only.
+    moment = F.concat(part(1), F.lit("T"), part(2), F.lit("Z")).try_cast("timestamp")
+    hours, minutes = (F.substring(part(4), at, 2).try_cast("int") for at in (2, 5))
+    ahead = F.when(part(4).startswith("-"), -1).otherwise(1) * (hours * 3600 + minutes * 60)
+    valid = (hours < 24) & (minutes < 60)
+    ahead = F.when(F.upper(part(4)) == "Z", 0).when(valid, ahead)
+    seconds = F.unix_seconds(moment) - ahead
     fraction = F.rpad(F.substring(part(3), 1, 9), 9, "0").cast("bigint")
     limit = NANOS_MAX // NS_PER_SECOND
     return (

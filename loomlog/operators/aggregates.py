@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.mapping import NS_PER_SECOND
 from ..functions.times import floor_to
 from .filters import in_range
-from .ordering import clamp_limit, is_forward, latest_logs
+from .ordering import MAX_LIMIT, is_forward, latest_logs
 
 # Bits of a value resolved per ranking level: at most 2**21 values share a level's group.
 _LEVEL_BITS = 21
@@ -54,12 +54,15 @@ def count_by_trace(logs: DataFrame) -> DataFrame:
 
 
 def to_streams(
-    rows: DataFrame, limit: int, direction: str | None = "backward"
+    rows: DataFrame,
+    limit: int,
+    direction: str | None = "backward",
+    max_limit: int | None = MAX_LIMIT,
 ) -> DataFrame:
     """Result rows as streams: one row per (service, severity), values in time order.
 
     The limit is applied here, before any list is built, so a list never holds
-    more than the largest allowed result.
+    more than the limit; whoever lifts the ceiling answers for its length.
     """
     if is_forward(direction):
         picked = F.sort_array(F.collect_list(F.struct("ts", "span_id", "body")))
@@ -70,7 +73,7 @@ def to_streams(
         )
     values = F.transform(picked, lambda v: F.array(v["ts"].cast("string"), v["body"]))
     return (
-        latest_logs(rows, clamp_limit(limit), direction)
+        latest_logs(rows, limit, direction, max_limit)
         .groupBy("service", "severity")
         .agg(values.alias("values"))
         .orderBy("service", "severity")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import nanos_col
-from .ordering import MAX_LIMIT
+from .dedup import fingerprint_col
+from .filters import scope
 
 # Widest ids in bytes.
 TRACE_ID_BYTES = 32
@@ -32,28 +33,24 @@ def normalize_time(
 def isolation_violations(logs: DataFrame, tenant: str, results: DataFrame) -> DataFrame:
     """Rows of a search result that are not rows of the tenant that searched.
 
-    Result rows travel as ids and a body hash, so their size does not depend on
-    the bodies. A result whose plan limits it to a search's 5000 rows is
-    broadcast, and the log table is not shuffled; any other is joined as Spark
-    sees fit.
+    Rows are told apart by all their columns. A row the tenant has, but fewer times
+    than it was returned, is reported as well, and so is one found in no table;
+    `surplus` is how often too often. Only the tenant's rows are read, and only the
+    fingerprints of rows that were returned are counted.
     """
-    same = ["ts", "trace_id", "span_id", "service", "severity", "body_hash"]
-    seen = results.withColumn("body_hash", F.sha2("body", 256)).select(*same).distinct()
-    stored = logs.withColumn("body_hash", F.sha2("body", 256)).select("tenant_id", *same)
-    own = F.max(F.when(F.col("tenant_id") == tenant, 1).otherwise(0))
-    most = most_rows(results)
-    if most is not None and most <= MAX_LIMIT:
-        seen = F.broadcast(seen)
-    return (
-        stored.join(seen, same)
-        .groupBy(*same)
-        .agg(own.alias("own"))
-        .filter(F.col("own") == 0)
-        .drop("own")
+    columns = results.columns
+    own = scope(logs, tenant).select(*columns)
+    returned = (
+        results.withColumn("fingerprint", fingerprint_col(results))
+        .groupBy("fingerprint")
+        .agg(F.count(F.lit(1)).alias("returned"), F.first(F.struct(*columns)).alias("row"))
     )
-
-
-def most_rows(df: DataFrame) -> int | None:
-    """The largest number of rows the plan allows, or None if it sets no limit."""
-    limit = df._jdf.queryExecution().optimizedPlan().maxRows()
-    return int(str(limit.get())) if limit.isDefined() else None
+    stored = (
+        own.select(fingerprint_col(own).alias("fingerprint"))
+        .join(returned.select("fingerprint"), "fingerprint", "left_semi")
+        .groupBy("fingerprint")
+        .agg(F.count(F.lit(1)).alias("stored"))
+    )
+    surplus = F.col("returned") - F.coalesce("stored", F.lit(0))
+    found = returned.join(stored, "fingerprint", "left").withColumn("surplus", surplus)
+    return found.filter("surplus > 0").select("row.*", "surplus")

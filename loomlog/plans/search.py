@@ -8,15 +8,14 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.labels import label_col
 from ..functions.patterns import is_valid_trace_id
-from ..functions.times import DEFAULT_RANGE_NS, clamp_nanos, resolve_range, to_nanos
+from ..functions.times import DEFAULT_RANGE_NS, MAX_RANGE_NS, clamp_nanos, resolve_range, to_nanos
 from ..operators.aggregates import to_streams
 from ..operators.filters import LineFilter, Matcher, in_range, predicate, scope
 from ..operators.ordering import (
     DEFAULT_LIMIT,
-    LABEL_VALUES_LIMIT,
     MAX_LIMIT,
-    clamp_limit,
     latest_logs,
 )
 from ..schema import RESULT_COLUMNS
@@ -24,9 +23,11 @@ from ..schema import RESULT_COLUMNS
 When = int | float | str | None
 
 
-def _range(start: When, end: When, now_ns: int | None) -> tuple[int, int]:
+def _range(
+    start: When, end: When, now_ns: int | None, widest: int | None = MAX_RANGE_NS
+) -> tuple[int, int]:
     now_ns = time.time_ns() if now_ns is None else now_ns
-    return resolve_range(to_nanos(start), to_nanos(end), now_ns)
+    return resolve_range(to_nanos(start), to_nanos(end), now_ns, widest)
 
 
 def matching(
@@ -51,11 +52,16 @@ def log_query(
     limit: int = DEFAULT_LIMIT,
     direction: str | None = "backward",
     now_ns: int | None = None,
+    max_limit: int | None = MAX_LIMIT,
+    widest: int | None = MAX_RANGE_NS,
 ) -> DataFrame:
-    """Matching rows of the last hour, or of the range given, newest first."""
-    begin, until = _range(start, end, now_ns)
+    """Matching rows of the last hour, or of the range given, newest first.
+
+    A limit above `max_limit` or a range above `widest` is refused; None lifts either.
+    """
+    begin, until = _range(start, end, now_ns, widest)
     rows = matching(logs, tenant, matchers, filters, begin, until)
-    return latest_logs(rows.select(*RESULT_COLUMNS), limit, direction)
+    return latest_logs(rows.select(*RESULT_COLUMNS), limit, direction, max_limit)
 
 
 def log_query_range(
@@ -68,11 +74,13 @@ def log_query_range(
     limit: int = DEFAULT_LIMIT,
     direction: str | None = "backward",
     now_ns: int | None = None,
+    max_limit: int | None = MAX_LIMIT,
+    widest: int | None = MAX_RANGE_NS,
 ) -> DataFrame:
     """The same search as streams: one row per (service, severity)."""
-    begin, until = _range(start, end, now_ns)
+    begin, until = _range(start, end, now_ns, widest)
     return to_streams(
-        matching(logs, tenant, matchers, filters, begin, until), limit, direction
+        matching(logs, tenant, matchers, filters, begin, until), limit, direction, max_limit
     )
 
 
@@ -85,6 +93,7 @@ def log_query_instant(
     limit: int = DEFAULT_LIMIT,
     direction: str | None = "backward",
     now_ns: int | None = None,
+    max_limit: int | None = MAX_LIMIT,
 ) -> DataFrame:
     """Streams of the hour that ends at `at`."""
     until = to_nanos(at)
@@ -92,7 +101,7 @@ def log_query_instant(
         until = time.time_ns() if now_ns is None else now_ns
     begin = clamp_nanos(until - DEFAULT_RANGE_NS)
     return to_streams(
-        matching(logs, tenant, matchers, filters, begin, until), limit, direction
+        matching(logs, tenant, matchers, filters, begin, until), limit, direction, max_limit
     )
 
 
@@ -102,9 +111,9 @@ def trace_lookup(
     trace_id: str,
     start: When = None,
     end: When = None,
-    limit: int = MAX_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """All rows of one trace, oldest first, whenever it happened."""
+    """All rows of one trace, or the first `limit` of them, oldest first."""
     if not is_valid_trace_id(trace_id):
         raise ValueError("trace_id must be 32 lower-case hex characters")
     if (start is None) != (end is None):
@@ -112,7 +121,7 @@ def trace_lookup(
     rows = scope(logs, tenant).filter(F.col("trace_id") == trace_id)
     if start is not None:
         rows = in_range(rows, to_nanos(start), to_nanos(end))
-    return latest_logs(rows.select(*RESULT_COLUMNS), limit, "forward")
+    return latest_logs(rows.select(*RESULT_COLUMNS), limit, "forward", None)
 
 
 def label_values(
@@ -122,14 +131,23 @@ def label_values(
     start: When = None,
     end: When = None,
     now_ns: int | None = None,
+    limit: int | None = None,
+    in_maps: bool = False,
 ) -> DataFrame:
-    """Distinct services or severities in order. Other labels list no values."""
+    """Distinct services or severities in order, all or the first `limit`.
+
+    Other labels list no values unless `in_maps` asks for those kept in the maps,
+    with which a search compares them.
+    """
     begin, until = _range(start, end, now_ns)
     rows = in_range(scope(logs, tenant), begin, until)
-    if name not in ("service", "severity"):
+    if name not in ("service", "severity") and not in_maps:
         return rows.select(F.lit("").alias("value")).limit(0)
-    values = rows.select(F.col(name).alias("value")).distinct()
-    return values.orderBy("value").limit(clamp_limit(LABEL_VALUES_LIMIT))
+    values = rows.select(label_col(name).alias("value")).distinct()
+    if name not in ("service", "severity"):
+        values = values.filter(F.col("value") != "")
+    ordered = values.orderBy("value")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def label_names(
@@ -142,8 +160,8 @@ def label_names(
 ) -> DataFrame:
     """Labels of a tenant and range, where they are kept, and how many rows have them.
 
-    With `fixed_only` just the labels every row has. One scan of the two key
-    lists; counts combine before the shuffle.
+    With `fixed_only` just the labels every row has; otherwise both maps are read.
+    Counts combine before the shuffle.
     """
     begin, until = _range(start, end, now_ns)
     rows = in_range(scope(logs, tenant), begin, until)

@@ -5,19 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.mapping import NANOS_MAX, NS_PER_DAY
+from ..functions.mapping import NANOS_MAX, NANOS_MIN, NS_PER_DAY
 from ..functions.times import day_col, day_of
 from ..operators.filters import in_range
 from ..schema import LOGS, PARTITION_COLUMNS, RESULT_COLUMNS, STORED_LOGS
+from .files import delete, folders, move
 
 # Days a row is kept, false-positive rate of the trace filter.
 RETENTION_DAYS = 30
 BLOOM_FPP = "0.01"
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """The table as the search functions take it, with `tenant_id` and `day`."""
-    return spark.read.schema(STORED_LOGS).parquet(path)
+def read_logs(
+    spark: SparkSession, path: str, start: int | None = None, end: int | None = None
+) -> DataFrame:
+    """The table as the search functions take it, with `tenant_id` and `day`.
+
+    With a range of stamps only the folders of its days are listed: the cost of
+    planning a search follows the days it asks for, not the age of the table. The
+    rows are those of these days; the search itself cuts to the stamp.
+    """
+    reader = spark.read.schema(STORED_LOGS)
+    if start is None and end is None:
+        return reader.parquet(path)
+    first, last = (
+        day_of(max(NANOS_MIN, min(NANOS_MAX, ns))).isoformat()
+        for ns in (NANOS_MIN if start is None else start, NANOS_MAX if end is None else end - 1)
+    )
+    days = [p for p in folders(spark, f"{path}/day=*") if first <= p.rpartition("day=")[2] <= last]
+    if not days:
+        return spark.createDataFrame([], STORED_LOGS)
+    return reader.option("basePath", path).parquet(*days)
 
 
 def scan_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -25,30 +43,37 @@ def scan_logs(spark: SparkSession, path: str) -> DataFrame:
     return read_logs(spark, path).select(*RESULT_COLUMNS)
 
 
-def append_logs(
-    rows: DataFrame, path: str, load_id: str, traces_per_row_group: int = 250_000
-) -> None:
+def append_logs(rows: DataFrame, path: str, load_id: str) -> None:
     """Store rows by day, clustered by (tenant, service, ts).
 
     One shuffle on (day, tenant). It is a rebalance, so adaptive execution
     splits a day or tenant that holds a large share of the rows over many
-    writers and merges small ones. `load_id` names this load: storing the same
-    load again replaces its own directories and nothing else.
+    writers and merges small ones. `load_id` names this load: what an earlier
+    attempt has stored under it goes first, in all days, so that storing it again
+    leaves exactly the rows given now, be they fewer, of other days or none.
     """
+    spark = rows.sparkSession
+    for folder in folders(spark, f"{path}/day=*/load_id={load_id}"):
+        delete(spark, folder)
     stored = rows.select(*LOGS.names).withColumns(
         {"day": day_col(F.col("ts")), "load_id": F.lit(load_id)}
     )
     clustered = stored.hint(
         "rebalance", F.col("day"), F.col("tenant_id")
     ).sortWithinPartitions(*PARTITION_COLUMNS, "tenant_id", "service", "ts")
+    _write(clustered, path, PARTITION_COLUMNS)
+
+
+def _write(rows: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """Parquet with a trace filter whose size follows the traces of each row group."""
     (
-        clustered.write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .option("parquet.bloom.filter.enabled#trace_id", "true")
-        .option("parquet.bloom.filter.expected.ndv#trace_id", str(traces_per_row_group))
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
         .option("parquet.bloom.filter.fpp#trace_id", BLOOM_FPP)
-        .partitionBy(*PARTITION_COLUMNS)
+        .partitionBy(*by)
         .parquet(path)
     )
 
@@ -67,12 +92,37 @@ def drop_expired_days(
     into stays; `apply_retention` hides its expired rows.
     """
     first_kept = day_of(now_ns - days * NS_PER_DAY)
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
     dropped = []
-    for status in files.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("day=") and name[4:] < first_kept.isoformat():
-            files.delete(status.getPath(), True)
-            dropped.append(name[4:])
-    return sorted(dropped)
+    for folder in folders(spark, f"{path}/day=*"):
+        day = folder.rpartition("day=")[2]
+        if day < first_kept.isoformat():
+            delete(spark, folder)
+            dropped.append(day)
+    return dropped
+
+
+def compact_days(spark: SparkSession, path: str, before_ns: int) -> list[str]:
+    """Rewrite the loads of each day that ended before `before_ns` as one load.
+
+    Continuous ingest leaves a folder per micro-batch; after this a day has few,
+    large files in (tenant, service, ts) order. The new load is complete before the
+    old ones go; if this stops in between, the next call finishes it, as the new
+    load's folder tells which loads it took over. Days are rewritten one by one.
+    """
+    done = []
+    for folder in folders(spark, f"{path}/day=*"):
+        day = folder.rpartition("day=")[2]
+        loads = folders(spark, f"{folder}/load_id=*")
+        ready = [p for p in loads if p.endswith("load_id=compacted")]
+        if day >= day_of(before_ns).isoformat() or len(loads) - len(ready) < (1 if ready else 2):
+            continue
+        staged = f"{path}/_compacting/day={day}"
+        if not folders(spark, f"{staged}/_SUCCESS"):
+            rows = spark.read.schema(LOGS).parquet(*loads)
+            clustered = rows.hint("rebalance", F.col("tenant_id"))
+            _write(clustered.sortWithinPartitions("tenant_id", "service", "ts"), staged)
+        for load in loads:
+            delete(spark, load)
+        move(spark, staged, f"{folder}/load_id=compacted")
+        done.append(day)
+    return done

@@ -3,15 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import dedup, fingerprint_col
-
-_SEEN = T.StructType(
-    [T.StructField("fingerprint", T.StringType()), T.StructField("batch", T.LongType())]
-)
+from ..sources.files import delete, folders
+from .ingest import query_id
 
 
 def stream_dedup(
@@ -19,11 +15,15 @@ def stream_dedup(
     path: str,
     seen_path: str,
     checkpoint: str,
-    horizon: int = 100,
+    horizon: int | None = None,
     available_now: bool = False,
     interval: str = "10 seconds",
 ) -> StreamingQuery:
-    """Start a stream that stores each row once among the last `horizon` micro-batches.
+    """Start a stream that stores each row once.
+
+    With a `horizon`, once among so many last micro-batches of this query: then only
+    their fingerprints are read and older ones are deleted. Without one, the whole
+    table of fingerprints is asked, also those of other streams that share it.
 
     Copies inside a micro-batch collapse on the map side, so one row repeated
     without end is no hot key. What is left, one row per fingerprint, is
@@ -36,21 +36,24 @@ def stream_dedup(
     def handle(batch: DataFrame, batch_id: int) -> None:
         single = dedup(batch)
         fresh = single.withColumn("fingerprint", fingerprint_col(single))
-        if batch_id > 0:
-            recent = (
-                session.read.schema(_SEEN)
-                .parquet(seen_path)
-                .filter(F.col("batch").between(batch_id - horizon, batch_id - 1))
-                .select("fingerprint")
-                .distinct()
-            )
+        own = f"batch={query_id(batch, checkpoint)}-"
+        name = f"{own}{batch_id:012d}"
+        known = [p for p in folders(session, f"{seen_path}/batch=*") if not p.endswith(name)]
+        if horizon is not None:
+            first = f"{own}{max(0, batch_id - horizon):012d}"
+            mine = [p for p in known if f"/{own}" in p and p.rpartition("/")[2] < name]
+            known = [p for p in mine if p.rpartition("/")[2] >= first]
+            for folder in sorted(set(mine) - set(known)):
+                delete(session, folder)
+        if known:
+            recent = session.read.schema("fingerprint string").parquet(*known).distinct()
             fresh = fresh.join(recent, "fingerprint", "left_anti")
-        fresh.drop("fingerprint").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        fresh.drop("fingerprint").write.mode("overwrite").parquet(f"{path}/{name}")
         # Read back what was stored, so that both outputs hold the same rows.
-        stored = session.read.schema(batch.schema).parquet(f"{path}/batch={batch_id}")
+        stored = session.read.schema(batch.schema).parquet(f"{path}/{name}")
         stored.select(fingerprint_col(stored).alias("fingerprint")).write.mode(
             "overwrite"
-        ).parquet(f"{seen_path}/batch={batch_id}")
+        ).parquet(f"{seen_path}/{name}")
 
     writer = rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import time
 from collections.abc import Callable
@@ -56,8 +57,10 @@ def stream_ingest(
     """Start the ingest of a stream of export batches.
 
     Keys are loaded for every micro-batch, so issue and revocation take effect
-    with the next one. A micro-batch is stored under its own load id, so a
-    batch that runs again after a crash replaces what it wrote before. `now_ns`
+    with the next one. A micro-batch is stored under its own load id, made of
+    `name`, the query's own id (which lives in the checkpoint) and the batch
+    number: several streams can feed one table, and a batch that runs again after
+    a crash replaces what it wrote before. `now_ns`
     fixes the clock (for tests); otherwise each request's arrival time is used.
     Batch size is the source's business: set `maxFilesPerTrigger` or
     `maxBytesPerTrigger` when reading.
@@ -65,7 +68,7 @@ def stream_ingest(
     configure(requests.sparkSession)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        load_id = f"{name}-{batch_id:012d}"
+        load_id = f"{name}-{query_id(batch, checkpoint)}-{batch_id:012d}"
         known = resolve_tenant(batch, load_keys())
         now = F.col("arrived_ns") if now_ns is None else now_ns
         rows = map_resolved(known, now, clamped=True)
@@ -76,6 +79,12 @@ def stream_ingest(
     return _start(requests, handle, checkpoint, available_now, interval)
 
 
+def query_id(batch: DataFrame, checkpoint: str) -> str:
+    """The id of the streaming query that has this checkpoint, the same after a restart."""
+    text = batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0]
+    return json.loads(text)["id"]
+
+
 def _flush(
     rows: DataFrame, path: str, load_id: str, dead_letters: str, write: Writer
 ) -> dict[str, int]:
@@ -158,6 +167,7 @@ def stream_rejects(
         )
         refused = found.select("request_id", outcome.alias("outcome"), "arrived_ns")
         refused = refused.filter(F.col("outcome").isNotNull())
-        refused.write.mode("overwrite").parquet(f"{path}/load_id=rejects-{batch_id:012d}")
+        load_id = f"rejects-{query_id(batch, checkpoint)}-{batch_id:012d}"
+        refused.write.mode("overwrite").parquet(f"{path}/load_id={load_id}")
 
     return _start(headers, handle, checkpoint, available_now, interval)

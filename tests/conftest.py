@@ -22,22 +22,22 @@ def spark():
     session.stop()
 
 
-def log_row(tenant="a", ts=NOW, severity="INFO", service="checkout", trace="", span="", body="",
+def log_row(tenant="a", ts=NOW, severity="INFO", service="ledger", trace="", span="", body="",
             attrs=None, resource=None):
     return (tenant, ts, severity, service, trace, span, body, attrs or {}, resource or {})
 
 
 @pytest.fixture(scope="session")
 def seed_rows(spark):
-    """Two rows of tenant a, one of tenant b, all of service checkout."""
-    common = {"attrs": {"env": "prod"}, "resource": {"region": "us-east"}}
+    """Two rows of tenant a, one of tenant b, all of service ledger."""
+    common = {"attrs": {"env": "lab"}, "resource": {"region": "north-3"}}
     rows = [
-        log_row("a", NOW - SECOND, "ERROR", trace="0123456789abcdef" * 2, span="0123456789abcdef",
-                body="payment failed: card declined", **common),
-        log_row("a", NOW, "INFO", trace="fedcba9876543210" * 2, span="fedcba9876543210",
-                body="order placed", **common),
-        log_row("b", NOW, "ERROR", trace="1" * 32, span="1" * 16,
-                body="payment failed: card declined", **common),
+        log_row("a", NOW - SECOND, "ERROR", trace="5a" * 16, span="5a" * 8,
+                body="posting 17 rejected: period closed", **common),
+        log_row("a", NOW, "INFO", trace="c7" * 16, span="c7" * 8,
+                body="posting 18 booked", **common),
+        log_row("b", NOW, "ERROR", trace="9e" * 16, span="9e" * 8,
+                body="posting 17 rejected: period closed", **common),
     ]
     return spark.createDataFrame(rows, LOGS)
 

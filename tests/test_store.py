@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from conftest import DAY, NOW, log_row, plan_of
+from conftest import DAY, NOW, SECOND, log_row, plan_of
 
 from loomlog.operators.checks import split_bad_ids
 from loomlog.operators.dedup import diff_tables
@@ -12,6 +12,7 @@ from loomlog.sources.keys import read_api_keys, write_api_keys
 from loomlog.sources.logs import (
     append_logs,
     apply_retention,
+    compact_days,
     drop_expired_days,
     read_logs,
     scan_logs,
@@ -110,3 +111,32 @@ def test_keys_round_trip(spark, tmp_path):
     assert sorted(read_api_keys(spark, str(tmp_path / "keys")).collect()) == sorted(
         keys(spark).collect()
     )
+
+
+def test_smaller_replay_replaces_the_whole_load(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    rows = [log_row(ts=NOW, body="today"), log_row(ts=NOW - 86_400 * SECOND, body="yesterday")]
+    append_logs(spark.createDataFrame(rows, LOGS), path, "one")
+    append_logs(spark.createDataFrame([log_row(ts=NOW, body="other")], LOGS), path, "two")
+    append_logs(spark.createDataFrame(rows[:1], LOGS), path, "one")
+    assert sorted(r.body for r in read_logs(spark, path).collect()) == ["other", "today"]
+    append_logs(spark.createDataFrame([], LOGS), path, "one")
+    assert [r.body for r in read_logs(spark, path).collect()] == ["other"]
+
+
+def test_days_are_compacted_and_listed_by_range(spark, tmp_path):
+    path, day = str(tmp_path / "logs"), 86_400 * SECOND
+    for load in range(4):
+        rows = [log_row(ts=NOW - d * day, body=f"{load} {d}", trace=f"{load:032x}") for d in range(3)]
+        append_logs(spark.createDataFrame(rows, LOGS), path, f"load-{load}")
+    before = sorted(r.body for r in read_logs(spark, path).collect())
+    assert len(compact_days(spark, path, NOW)) == 2  # the current day stays
+    assert sorted(r.body for r in read_logs(spark, path).collect()) == before
+    assert compact_days(spark, path, NOW) == []
+    one = read_logs(spark, path, NOW - day, NOW - day + 1)
+    assert len(one.inputFiles()) == 1 and "compacted" in one.inputFiles()[0]
+    assert {r.body for r in one.collect()} == {f"{n} 1" for n in range(4)}
+    assert read_logs(spark, path, 0, day).count() == 0
+    late = spark.createDataFrame([log_row(ts=NOW - day, body="late")], LOGS)
+    append_logs(late, path, "late")
+    assert len(compact_days(spark, path, NOW)) == 1 and read_logs(spark, path).count() == 13

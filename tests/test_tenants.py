@@ -22,22 +22,22 @@ def key_table(spark, rows):
 
 def keys(spark):
     return key_table(spark, [
-        ("1", "TESTKEY", "demo", WHEN, None),
-        ("2", "OTHERKEY", "other", WHEN, None),
-        ("3", "OLDKEY", "demo", WHEN, WHEN),
+        ("1", "key-of-ann", "north", WHEN, None),
+        ("2", "key-of-bo", "south", WHEN, None),
+        ("3", "key-gone", "north", WHEN, WHEN),
     ])
 
 
 HEADERS = [
-    ("q1", "TESTKEY", None, "TESTKEY"),
-    ("q2", None, "Bearer OTHERKEY", "OTHERKEY"),
-    ("q3", "OTHERKEY", "Bearer TESTKEY", "OTHERKEY"),
-    ("q4", "", "Bearer TESTKEY", ""),
-    ("q5", None, "bearer TESTKEY", None),
+    ("q1", "key-of-ann", None, "key-of-ann"),
+    ("q2", None, "Bearer key-of-bo", "key-of-bo"),
+    ("q3", "key-of-bo", "Bearer key-of-ann", "key-of-bo"),
+    ("q4", "", "Bearer key-of-ann", ""),
+    ("q5", None, "bearer key-of-ann", None),
     ("q6", None, "Bearer ", ""),
     ("q7", None, None, None),
-    ("q8", "clé", "Bearer TESTKEY", "TESTKEY"),
-    ("q9", "OLDKEY", None, "OLDKEY"),
+    ("q8", "clé", "Bearer key-of-ann", "key-of-ann"),
+    ("q9", "key-gone", None, "key-gone"),
     ("q10", "NEVER", None, "NEVER"),
 ]
 
@@ -55,7 +55,7 @@ def test_request_key(spark):
 
 
 def test_lookup_by_broadcast_and_by_salted_shuffle(spark):
-    known = {("q1", "demo"), ("q2", "other"), ("q3", "other"), ("q8", "demo")}
+    known = {("q1", "north"), ("q2", "south"), ("q3", "south"), ("q8", "north")}
     for limit in (tenants.MAX_BROADCAST_BYTES, 0):
         found = tenants.resolve_tenant(requests(spark), keys(spark), max_broadcast_bytes=limit)
         assert {(r.request_id, r.tenant_id) for r in found.collect()} == known
@@ -68,14 +68,14 @@ def test_lookup_by_broadcast_and_by_salted_shuffle(spark):
 def test_seed_and_revoke(spark):
     later = WHEN + dt.timedelta(days=1)
     new = key_table(spark, [
-        ("9", "TESTKEY", "stolen", WHEN, None),
+        ("9", "key-of-ann", "stolen", WHEN, None),
         ("8", "FRESH", "second", later, None),
         ("7", "FRESH", "first", WHEN, None),
     ])
     seeded = tenants.seed_keys(keys(spark), new)
     assert seeded.columns == keys(spark).columns
     assert sorted((r.id, r.tenant_id) for r in seeded.collect()) == [
-        ("1", "demo"), ("2", "other"), ("3", "demo"), ("7", "first")
+        ("1", "north"), ("2", "south"), ("3", "north"), ("7", "first")
     ]
     gone = seeded.filter("id = '1'").select("key_hash")
     revoked = tenants.revoke_keys(seeded, gone.unionByName(gone), F.lit(later))
@@ -85,7 +85,7 @@ def test_seed_and_revoke(spark):
 
 
 def test_first_failing_check_decides(spark):
-    good = {"content_type": "application/x-protobuf", "x_api_key": "TESTKEY",
+    good = {"content_type": "application/x-protobuf", "x_api_key": "key-of-ann",
             "authorization": None, "body_bytes": 10, "readable": True, "record_count": 5}
     cases = [
         ({}, 200, "accepted"),
@@ -93,7 +93,7 @@ def test_first_failing_check_decides(spark):
         ({"content_type": "application/x-protobuf;v=1"}, 200, "accepted"),
         ({"content_type": "text/plain", "x_api_key": None}, 415, "unsupported_content_type"),
         ({"x_api_key": None, "body_bytes": 2**30}, 401, "missing_key"),
-        ({"x_api_key": "OLDKEY"}, 401, "invalid_key"),
+        ({"x_api_key": "key-gone"}, 401, "invalid_key"),
         ({"x_api_key": "NEVER", "readable": False}, 401, "invalid_key"),
         ({"body_bytes": 16_777_217, "readable": False}, 413, "body_too_large"),
         ({"body_bytes": 16_777_216, "readable": False}, 400, "unreadable_body"),

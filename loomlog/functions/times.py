@@ -102,18 +102,24 @@ def _rfc3339_to_nanos(text: Column) -> Column:
 
     # The offset is taken from the text too: timestamps allow 18 hours only.
     moment = F.concat(part(1), F.lit("T"), part(2), F.lit("Z")).try_cast("timestamp")
-    hours, minutes = (F.substring(part(4), at, 2).try_cast("int") for at in (2, 5))
-    ahead = F.when(part(4).startswith("-"), -1).otherwise(1) * (hours * 3600 + minutes * 60)
-    valid = (hours < 24) & (minutes < 60)
-    ahead = F.when(F.upper(part(4)) == "Z", 0).when(valid, ahead)
-    seconds = F.unix_seconds(moment) - ahead
+    def ahead(offset: Column) -> Column:
+        hours, minutes = (F.substring(offset, at, 2).try_cast("int") for at in (2, 5))
+        away = F.when(offset.startswith("-"), -1).otherwise(1) * (hours * 3600 + minutes * 60)
+        return F.when(F.upper(offset) == "Z", 0).when((hours < 24) & (minutes < 60), away)
+
     fraction = F.rpad(F.substring(part(3), 1, 9), 9, "0").cast("bigint")
     limit = NANOS_MAX // NS_PER_SECOND
-    return (
-        F.when(seconds >= limit, F.lit(NANOS_MAX).cast("bigint"))
-        .when(seconds < -limit, F.lit(NANOS_MIN).cast("bigint"))
-        .otherwise(seconds * F.lit(NS_PER_SECOND).cast("bigint") + fraction)
-    )
+
+    def nanos(seconds: Column) -> Column:
+        return (
+            F.when(seconds >= limit, F.lit(NANOS_MAX).cast("bigint"))
+            .when(seconds < -limit, F.lit(NANOS_MIN).cast("bigint"))
+            .otherwise(seconds * F.lit(NS_PER_SECOND).cast("bigint") + fraction)
+        )
+
+    # Bound by a one-element array, so that the text is taken apart once.
+    seconds = F.unix_seconds(moment) - F.get(F.transform(F.array(part(4)), ahead), F.lit(0))
+    return F.get(F.transform(F.array(seconds), nanos), F.lit(0))
 
 
 def nanos_col(text: Column, json_number: bool = False) -> Column:

@@ -20,7 +20,6 @@ def route_requests(
     keys: DataFrame,
     max_body: int = MAX_BODY_BYTES,
     max_rows: int = MAX_ROWS,
-    **options: int,
 ) -> DataFrame:
     """Adds `tenant_id`, `status` and `outcome`; the first failing check decides.
 
@@ -28,7 +27,7 @@ def route_requests(
     accepted. Expects `request_id, content_type, x_api_key, authorization,
     body_bytes, readable, record_count`.
     """
-    found = lookup(with_key_hash(requests), keys, "left", **options)
+    found = lookup(with_key_hash(requests), keys, "left")
     content_type = header_text(F.col("content_type"))
     checks = (
         (~content_type.startswith(CONTENT_TYPE), 415, "unsupported_content_type"),

@@ -7,12 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.mapping import key_hash_col, request_key_col
 
-# Above this estimated size the key table is joined by shuffle instead.
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-# How many tasks share the requests of one key in that case.
-SALT_BUCKETS = 64
-
-
 def live_keys(keys: DataFrame) -> DataFrame:
     return keys.filter(F.col("revoked_at").isNull()).select("key_hash", "tenant_id")
 
@@ -23,46 +17,28 @@ def with_key_hash(requests: DataFrame) -> DataFrame:
     return requests.withColumn("key_hash", key_hash_col(key))
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; no job is run for it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def lookup(
-    requests: DataFrame,
-    keys: DataFrame,
-    how: str,
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-) -> DataFrame:
+def lookup(requests: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """Join requests to live keys on `key_hash`.
 
-    A key table whose estimated size is small enough is broadcast. A larger one
-    is shuffled, and since one sender can make a third of all requests, each
-    key is repeated per salt and the requests of a key spread over the salts.
+    Spark broadcasts the keys below its threshold; else both sides are shuffled and
+    adaptive execution splits a sender with a large share of the requests. Requests
+    without key match nothing; numbers stand for their keys in the join, so that they
+    spread over all tasks.
     """
-    known = live_keys(keys)
-    if estimated_bytes(known) <= max_broadcast_bytes:
-        return requests.join(F.broadcast(known), "key_hash", how)
-    salted = requests.withColumn("_salt", _request_salt(requests))
-    repeated = known.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1)))
-    )
-    return salted.join(repeated, ["key_hash", "_salt"], how).drop("_salt")
-
-
-def _request_salt(requests: DataFrame) -> Column:
-    """A salt that a re-run task computes again exactly."""
-    return F.pmod(F.xxhash64("request_id"), F.lit(SALT_BUCKETS)).cast("int")
+    none = F.concat(F.lit(":"), F.monotonically_increasing_id().cast("string"))
+    known = live_keys(keys).withColumnRenamed("key_hash", "_key")
+    keyed = requests.withColumn("_key", F.coalesce("key_hash", none))
+    return keyed.join(known, "_key", how).drop("_key")
 
 
-def resolve_tenant(requests: DataFrame, keys: DataFrame, **options: int) -> DataFrame:
+def resolve_tenant(requests: DataFrame, keys: DataFrame) -> DataFrame:
     """Requests of a known, unrevoked key, with their `tenant_id`."""
-    return lookup(with_key_hash(requests), keys, "inner", **options)
+    return lookup(with_key_hash(requests), keys, "inner")
 
 
-def unknown_keys(requests: DataFrame, keys: DataFrame, **options: int) -> DataFrame:
+def unknown_keys(requests: DataFrame, keys: DataFrame) -> DataFrame:
     """Requests whose key is missing, unknown or revoked."""
-    return lookup(with_key_hash(requests), keys, "left_anti", **options)
+    return lookup(with_key_hash(requests), keys, "left_anti")
 
 
 def seed_keys(keys: DataFrame, new: DataFrame) -> DataFrame:

@@ -96,3 +96,12 @@ EXPORT_BATCHES = T.StructType(
         T.StructField("resource_logs", RESOURCE_LOGS),
     ]
 )
+
+# As they land, with the headers the request rules look at; a file may lack these.
+LANDED_BATCHES = T.StructType(
+    [
+        *EXPORT_BATCHES.fields,
+        T.StructField("content_type", T.StringType()),
+        T.StructField("body_bytes", T.LongType()),
+    ]
+)

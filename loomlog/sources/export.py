@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import EXPORT_BATCHES
+from ..schema import LANDED_BATCHES
 
 _CORRUPT = "_corrupt_record"
 
@@ -26,7 +26,7 @@ def read_export_batches(
     if file_format not in ("json", "parquet"):
         raise ValueError(f"file_format must be 'json' or 'parquet', not {file_format!r}")
     reader = spark.readStream if streaming else spark.read
-    schema = EXPORT_BATCHES
+    schema = LANDED_BATCHES
     if file_format == "json":
         # A line that is not valid JSON keeps its text here instead of failing the job.
         schema = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
@@ -35,5 +35,5 @@ def read_export_batches(
     readable = F.col(_CORRUPT).isNull() if file_format == "json" else F.lit(True)
     arrived = F.unix_micros("_metadata.file_modification_time") * 1000
     return raw.select(
-        *EXPORT_BATCHES.names, readable.alias("readable"), arrived.alias("arrived_ns")
+        *LANDED_BATCHES.names, readable.alias("readable"), arrived.alias("arrived_ns")
     )

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.mapping import map_resolved
-from ..operators.tenants import lookup, resolve_tenant, with_key_hash
+from ..operators import routing
+from ..operators.mapping import map_resolved, with_record_count
+from ..operators.tenants import live_keys, lookup, resolve_tenant, with_key_hash
 from ..schema import LOGS
 from ..session import configure
+from ..sources.files import folders
 from ..sources.logs import append_logs
 
 LOG = logging.getLogger(__name__)
@@ -24,6 +26,7 @@ LOG = logging.getLogger(__name__)
 FLUSH_ATTEMPTS = 3
 RETRY_SECONDS = 0.05
 FLUSH_INTERVAL = "200 milliseconds"
+LIVE_KEYS = "key_hash string, tenant_id string, revoked_at timestamp"
 
 KeyLoader = Callable[[], DataFrame]
 Writer = Callable[[DataFrame, str, str], None]
@@ -48,6 +51,7 @@ def stream_ingest(
     checkpoint: str,
     dead_letters: str,
     metrics: str | None = None,
+    rejects: str | None = None,
     now_ns: int | None = None,
     name: str = "stream",
     available_now: bool = False,
@@ -62,6 +66,10 @@ def stream_ingest(
     number: several streams can feed one table, and a batch that runs again after
     a crash replaces what it wrote before. `now_ns`
     fixes the clock (for tests); otherwise each request's arrival time is used.
+    With `rejects`, all rules for requests apply (content type, key, body size,
+    readability, number of records), and those refused are written there with
+    their outcome. The keys of a micro-batch are then kept with it: one decision
+    for both outputs, also when the batch runs again after a key has changed.
     Batch size is the source's business: set `maxFilesPerTrigger` or
     `maxBytesPerTrigger` when reading.
     """
@@ -69,7 +77,14 @@ def stream_ingest(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         load_id = f"{name}-{query_id(batch, checkpoint)}-{batch_id:012d}"
-        known = resolve_tenant(batch, load_keys())
+        if rejects:
+            keys = _keys_of_batch(batch, load_keys, f"{rejects}/_keys/load_id={load_id}")
+            routed = routing.route_requests(with_record_count(batch), keys)
+            refused = routing.dead_letters(routed).select("request_id", "outcome", "status", "arrived_ns")
+            refused.write.mode("overwrite").parquet(f"{rejects}/load_id={load_id}")
+            known = routing.accepted(routed)
+        else:
+            known = resolve_tenant(batch, load_keys())
         now = F.col("arrived_ns") if now_ns is None else now_ns
         rows = map_resolved(known, now, clamped=True)
         counts = _flush(rows, path, load_id, dead_letters, write)
@@ -79,6 +94,14 @@ def stream_ingest(
     return _start(requests, handle, checkpoint, available_now, interval)
 
 
+def _keys_of_batch(batch: DataFrame, load_keys: KeyLoader, path: str) -> DataFrame:
+    """The keys as they were when the micro-batch first ran."""
+    spark = batch.sparkSession
+    if not folders(spark, f"{path}/_SUCCESS"):
+        live_keys(load_keys()).withColumn("revoked_at", F.lit(None).cast("timestamp")).write.mode("overwrite").parquet(path)
+    return spark.read.schema(LIVE_KEYS).parquet(path)
+
+
 def query_id(batch: DataFrame, checkpoint: str) -> str:
     """The id of the streaming query that has this checkpoint, the same after a restart."""
     text = batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0]

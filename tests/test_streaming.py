@@ -172,3 +172,43 @@ def test_dedup_without_horizon_remembers_all(spark, tmp_path):
         stream = spark.readStream.schema(LOGS).parquet(source)
         stream_dedup(stream, f"{out}/rows", f"{out}/seen", f"{out}/cp", available_now=True).awaitTermination(120)
     assert sorted(r.body for r in spark.read.schema(LOGS).parquet(f"{out}/rows").collect()) == ["a", "b", "c"]
+
+
+def test_accepted_and_refused_come_from_one_decision(spark, tmp_path):
+    """Every landed request is in one output, also when a key is revoked between attempts."""
+    record = [{"scope_logs": [{"log_records": [{"time_unix_nano": NOW}]}]}]
+    lines = [
+        {"request_id": "good", "x_api_key": "key-1", "resource_logs": record},
+        {"request_id": "typed", "x_api_key": "key-1", "content_type": "text/plain", "resource_logs": record},
+        {"request_id": "large", "x_api_key": "key-1", "body_bytes": 1 << 40, "resource_logs": record},
+        {"request_id": "silent", "resource_logs": record},
+        {"request_id": "wrong", "x_api_key": "nobody", "resource_logs": record},
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, lines)) + "\n{broken\n")
+    keys, calls = fixtures.api_keys(spark, SF), []
+
+    def load_keys():
+        calls.append(1)
+        return keys if len(calls) == 1 else keys.limit(0)
+
+    def run(**options):
+        source = read_export_batches(spark, str(tmp_path / "in"), streaming=True)
+        return ingest.stream_ingest(
+            source, load_keys, f"{tmp_path}/logs", f"{tmp_path}/cp", f"{tmp_path}/dead",
+            rejects=f"{tmp_path}/rejects", now_ns=NOW, available_now=True, **options,
+        ).awaitTermination(120)
+
+    def stops(rows, path, load_id):
+        raise OSError("not now")
+
+    (tmp_path / "dead").write_text("in the way")
+    with pytest.raises(StreamingQueryException):
+        run(write=stops)
+    run()  # the same batch again, with all keys gone
+    assert read_logs(spark, f"{tmp_path}/logs").count() == 1
+    refused = {(r.request_id, r.outcome) for r in spark.read.parquet(f"{tmp_path}/rejects").collect()}
+    assert refused == {
+        ("typed", "unsupported_content_type"), ("large", "body_too_large"), ("silent", "missing_key"),
+        ("wrong", "invalid_key"), (None, "missing_key"),
+    }

@@ -54,15 +54,17 @@ def test_request_key(spark):
     assert got == {h[0]: h[3] for h in HEADERS}
 
 
-def test_lookup_by_broadcast_and_by_salted_shuffle(spark):
+def test_lookup_by_broadcast_and_by_shuffle(spark):
     known = {("q1", "north"), ("q2", "south"), ("q3", "south"), ("q8", "north")}
-    for limit in (tenants.MAX_BROADCAST_BYTES, 0):
-        found = tenants.resolve_tenant(requests(spark), keys(spark), max_broadcast_bytes=limit)
+    for limit in ("10485760", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        found = tenants.resolve_tenant(requests(spark), keys(spark))
         assert {(r.request_id, r.tenant_id) for r in found.collect()} == known
-        refused = tenants.unknown_keys(requests(spark), keys(spark), max_broadcast_bytes=limit)
+        refused = tenants.unknown_keys(requests(spark), keys(spark))
         assert {r.request_id for r in refused.collect()} == (
             {h[0] for h in HEADERS} - {q for q, _ in known}
         )
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_seed_and_revoke(spark):

@@ -150,7 +150,19 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT)
         .where(F.col("texts") >= support),
         "pii-together",
     )
-    terms = stored(together.select("term").distinct(), "pii-terms")
+    # n(t) is at least the number of documents with t near any entity. Where that alone
+    # keeps t below the threshold (as for common words), t need not be counted everywhere.
+    around = (
+        rows.where(F.size("near") > 0)
+        .select(F.explode(F.array_distinct(F.flatten(F.transform("near", lambda n: n["terms"])))).alias("term"))
+        .groupBy("term").agg(F.count("*").alias("n_near"))
+    )
+    most = F.col("n_te") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - threshold))
+    terms = stored(
+        together.join(entities.select("entity", "n_e"), "entity").join(around, "term")
+        .where(F.col("n_near") <= most * (1 + 1e-9)).select("term").distinct(),
+        "pii-terms",
+    )
     words = lambda *more: own.select(*more, F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
     frequency = words().join(terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
     information = F.ln(F.lit(float(total)) / F.col("n_e"))

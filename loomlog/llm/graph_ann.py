@@ -183,7 +183,7 @@ def build_index(vectors: DataFrame, keep: int, shard_rows: int = SHARD_ROWS) ->
         dim.alias("dim"), F.pmod(F.xxhash64("vector"), shards).cast("int").alias("shard"), "vector", "ids"
     )
 
-    def build(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ids", key=lambda ids: ids.map(lambda i: i[0]))
         x = np.array(rows["vector"].tolist(), np.float32)
         edges, entry = build_graph(unit(x))

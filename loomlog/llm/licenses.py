@@ -4,7 +4,8 @@ Markup: words are mandatory; `[ ... ]` may be missing; `{n}` stands for up to n
 words of any kind; `(a b | c)` for one of its alternatives. A template accepts
 a place of a text if its mandatory wording stands there exactly, word for word.
 Per document the work is linear: an automaton runs only where its first word
-stands, in texts that hold its longest mandatory run of words.
+stands, in texts that hold its longest mandatory run of words (or, if all its
+words stand in brackets, one of its first words).
 
 Words are runs of letters, digits and non-ASCII characters after A-Z became
 lower case. Everything happens inside one pass over the texts, without shuffle.
@@ -37,9 +38,9 @@ TEMPLATES = (
     ("CC-BY-NC", "[ licensed under ] [ the ] ( cc by nc | creative commons attribution noncommercial ) {1} 0"),
     ("CC-BY-SA", "[ licensed under ] [ the ] ( cc by sa | creative commons attribution sharealike ) {1} 0"),
     ("CC0", "( cc0 1 0 | released under cc0 ) [ universal ] [ public domain dedication ]"),
-    ("GPL-2.0", "licensed under [ the terms of ] the gnu general public license [ as published by {6} ]"
+    ("GPL-2.0", "[ licensed under ] [ the terms of ] the gnu general public license [ as published by {6} ]"
                 " [ either ] version 2"),
-    ("GPL-3.0", "licensed under [ the terms of ] the gnu general public license [ as published by {6} ]"
+    ("GPL-3.0", "[ licensed under ] [ the terms of ] the gnu general public license [ as published by {6} ]"
                 " [ either ] version 3"),
     ("ISC", "permission to use copy modify and or distribute this software for any purpose with or without"
             " fee is hereby granted"),
@@ -79,7 +80,8 @@ class Template:
         self._mandatory(None)
         self.start = self._closure({start})
         self.first = {w for s in self.start for w in self.words[s]}
-        self.anchor = b" " + b" ".join(self.run) + b" "
+        runs = [self.run] if self.run else [[w] for w in sorted(self.first)]
+        self.anchors = [b" " + b" ".join(run) + b" " for run in runs]
 
     def _state(self) -> int:
         self.words.append({})
@@ -159,7 +161,7 @@ class Scanner:
     def matches(self, words: list[bytes]) -> list[tuple[str, bool, int, int]]:
         """(label, whether a base phrase, first word, end word) of every place."""
         line = b" " + b" ".join(words) + b" "
-        live = [(base, t) for base, t in self.all if t.anchor in line]
+        live = [(base, t) for base, t in self.all if any(a in line for a in t.anchors)]
         found = []
         if live:
             heads: dict[bytes, list] = {}

@@ -96,6 +96,43 @@ def test_licence_notices():
     assert scan("") == scan(None) == []
 
 
+ACCEPTED = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License);"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted"
+            " provided that the following conditions are met:"),
+    ("CC-BY", "Licensed under a Creative Commons Attribution 4.0 licence."),
+    ("CC-BY-NC", "under CC BY-NC 4.0"),
+    ("CC-BY-SA", "the Creative Commons Attribution-ShareAlike 3.0 licence"),
+    ("CC0", "This data is released under CC0."),
+    ("CC0", "CC0 1.0 Universal"),
+    ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation;"
+                " either version 2 of the License, or (at your option) any later version"),
+    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation,"
+                " either version 3 of the License"),
+    ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without"
+            " fee is hereby granted"),
+    ("LGPL", "the GNU Lesser General Public License"),
+    ("MIT", "Distributed under the terms of the MIT License."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and'
+            ' associated documentation files (the "Software"), to deal in the Software without restriction'),
+    ("MPL-2.0", "subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("copyright", "Copyright (c) 2020 Some One. All rights reserved."),
+]
+
+
+@pytest.mark.parametrize(("label", "text"), ACCEPTED)
+def test_every_template_accepts_its_notice(label, text):
+    assert label in {m[0] for m in scan(text) if not m[1]}
+
+
+def test_each_template_has_an_accepted_text():
+    for label, markup in licenses.TEMPLATES:
+        alone = licenses.Scanner((), [(label, markup)])
+        assert any(alone.matches(licenses.words_of(text)) for _, text in ACCEPTED), markup
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["cc", "by", "CC", "general", "public", "license", "all", "rights", "reserved", "é", "x1"]), max_size=30), st.sampled_from([" ", "-", ". ", "\n"]))
 def test_base_phrases_equal_brute_force(words, between):

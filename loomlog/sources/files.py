@@ -21,7 +21,29 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(root, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    files, root = _open(spark, path)
+    stream = files.open(root)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """The file appears with all of its text, or not at all."""
+    files, part = _open(spark, f"{path}.part")
+    stream = files.create(part, True)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+    move(spark, f"{path}.part", path)
+
+
 def move(spark: SparkSession, source: str, target: str) -> None:
     files, root = _open(spark, source)
-    if not files.rename(root, spark._jvm.org.apache.hadoop.fs.Path(target)):
+    goal = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files.mkdirs(goal.getParent())
+    if not files.rename(root, goal):
         raise OSError(f"cannot move {source} to {target}")

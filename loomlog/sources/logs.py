@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.mapping import NANOS_MAX, NANOS_MIN, NS_PER_DAY
 from ..functions.times import day_col, day_of
 from ..operators.filters import in_range
 from ..schema import LOGS, PARTITION_COLUMNS, RESULT_COLUMNS, STORED_LOGS
-from .files import delete, folders, move
+from .files import delete, folders, move, read_text, write_text
 
 # Days a row is kept, false-positive rate of the trace filter.
 RETENTION_DAYS = 30
 BLOOM_FPP = "0.01"
 
+# Compaction: a day's load that holds others, where it is staged, the list of loads
+# it holds, and the column with the load of each row (in these files only).
+COMPACTED = "load_id=compacted"
+STAGED = "_compaction"
+LOADS = "_LOADS"
+SOURCE = "source_load"
+
 
 def read_logs(
     spark: SparkSession, path: str, start: int | None = None, end: int | None = None
@@ -50,9 +60,11 @@ def append_logs(rows: DataFrame, path: str, load_id: str) -> None:
     splits a day or tenant that holds a large share of the rows over many
     writers and merges small ones. `load_id` names this load: what an earlier
     attempt has stored under it goes first, in all days, so that storing it again
-    leaves exactly the rows given now, be they fewer, of other days or none.
+    leaves exactly the rows given now, be they fewer, of other days or none. That
+    holds for what `compact_days` has taken over since, too: those days are rewritten.
     """
     spark = rows.sparkSession
+    _take_out(spark, path, load_id)
     for folder in folders(spark, f"{path}/day=*/load_id={load_id}"):
         delete(spark, folder)
     stored = rows.select(*LOGS.names).withColumns(
@@ -93,6 +105,9 @@ def drop_expired_days(
     """
     first_kept = day_of(now_ns - days * NS_PER_DAY)
     dropped = []
+    for staged in folders(spark, f"{path}/{STAGED}/day=*"):
+        if staged.rpartition("day=")[2] < first_kept.isoformat():
+            delete(spark, staged)
     for folder in folders(spark, f"{path}/day=*"):
         day = folder.rpartition("day=")[2]
         if day < first_kept.isoformat():
@@ -105,24 +120,79 @@ def compact_days(spark: SparkSession, path: str, before_ns: int) -> list[str]:
     """Rewrite the loads of each day that ended before `before_ns` as one load.
 
     Continuous ingest leaves a folder per micro-batch; after this a day has few,
-    large files in (tenant, service, ts) order. The new load is complete before the
-    old ones go; if this stops in between, the next call finishes it, as the new
-    load's folder tells which loads it took over. Days are rewritten one by one.
+    large files in (tenant, service, ts) order. A copy is staged beside the days,
+    with a list of the loads it holds; the list completes it. Then the loads of the
+    list go and the copy takes their place. If this stops in between, readers miss
+    the loads already gone until the next call, which finishes complete copies
+    first. Loads stored since staging are not on the list and stay. Rows keep the
+    name of their load, so `append_logs` can still replace it. Days are rewritten
+    one by one; only one call, or replay of a load taken over, may run at a time.
     """
-    done = []
+    done = {_finish(spark, path, day) for day in _staged_days(spark, path)}
     for folder in folders(spark, f"{path}/day=*"):
         day = folder.rpartition("day=")[2]
         loads = folders(spark, f"{folder}/load_id=*")
-        ready = [p for p in loads if p.endswith("load_id=compacted")]
+        ready = [p for p in loads if p.endswith(COMPACTED)]
         if day >= day_of(before_ns).isoformat() or len(loads) - len(ready) < (1 if ready else 2):
             continue
-        staged = f"{path}/_compacting/day={day}"
-        if not folders(spark, f"{staged}/_SUCCESS"):
-            rows = spark.read.schema(LOGS).parquet(*loads)
-            clustered = rows.hint("rebalance", F.col("tenant_id"))
-            _write(clustered.sortWithinPartitions("tenant_id", "service", "ts"), staged)
-        for load in loads:
+        held = {p.rpartition("load_id=")[2] for p in loads if p not in ready}
+        _stage(spark, path, day, _with_source(spark, path, loads), held | _loads_of(spark, f"{folder}/{COMPACTED}"))
+        done.add(_finish(spark, path, day))
+    return sorted(done)
+
+
+def _staged_days(spark: SparkSession, path: str) -> list[str]:
+    """Days with a complete copy that has not taken its place."""
+    lists = folders(spark, f"{path}/{STAGED}/day=*/{LOADS}")
+    return [p.rpartition("day=")[2].partition("/")[0] for p in lists]
+
+
+def _loads_of(spark: SparkSession, folder: str) -> set[str]:
+    """The loads that a copy holds."""
+    lists = folders(spark, f"{folder}/{LOADS}")
+    return set(json.loads(read_text(spark, lists[0]))) if lists else set()
+
+
+def _with_source(spark: SparkSession, path: str, loads: list[str]) -> DataFrame:
+    """Rows of some loads of a day, each with the load that first stored it."""
+    schema = StructType([*STORED_LOGS.fields, StructField(SOURCE, StringType())])
+    rows = spark.read.schema(schema).option("basePath", path).parquet(*loads)
+    return rows.select(*LOGS.names, F.coalesce(SOURCE, "load_id").alias(SOURCE))
+
+
+def _stage(spark: SparkSession, path: str, day: str, rows: DataFrame, held: set[str]) -> None:
+    staged = f"{path}/{STAGED}/day={day}"
+    clustered = rows.hint("rebalance", F.col("tenant_id"))
+    _write(clustered.sortWithinPartitions("tenant_id", "service", "ts"), staged)
+    write_text(spark, f"{staged}/{LOADS}", json.dumps(sorted(held)))
+
+
+def _finish(spark: SparkSession, path: str, day: str) -> str:
+    """Put a complete copy in the place of the loads it holds."""
+    staged, folder = f"{path}/{STAGED}/day={day}", f"{path}/day={day}"
+    held = _loads_of(spark, staged)
+    for load in folders(spark, f"{folder}/load_id=*"):
+        if load.endswith(COMPACTED) or load.rpartition("load_id=")[2] in held:
             delete(spark, load)
-        move(spark, staged, f"{folder}/load_id=compacted")
-        done.append(day)
-    return done
+    move(spark, staged, f"{folder}/{COMPACTED}")
+    return day
+
+
+def _take_out(spark: SparkSession, path: str, load_id: str) -> None:
+    """Remove a load from the copies that hold it."""
+    for day in _staged_days(spark, path):
+        copies = f"{path}/{STAGED}/day={day}", f"{path}/day={day}/{COMPACTED}"
+        if any(load_id in _loads_of(spark, copy) for copy in copies):
+            _finish(spark, path, day)
+    for listed in folders(spark, f"{path}/day=*/{COMPACTED}/{LOADS}"):
+        copy = listed.rpartition("/")[0]
+        held = _loads_of(spark, copy)
+        if load_id not in held:
+            continue
+        if held == {load_id}:
+            delete(spark, copy)
+            continue
+        day = copy.rpartition("day=")[2].partition("/")[0]
+        rows = _with_source(spark, path, [copy]).filter(F.col(SOURCE) != load_id)
+        _stage(spark, path, day, rows, held - {load_id})
+        _finish(spark, path, day)

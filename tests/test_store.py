@@ -2,12 +2,14 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pytest
 from conftest import DAY, NOW, SECOND, log_row, plan_of
 
 from loomlog.operators.checks import split_bad_ids
 from loomlog.operators.dedup import diff_tables
 from loomlog.plans import search
 from loomlog.schema import LOGS, RESULT_COLUMNS
+from loomlog.sources import logs as store
 from loomlog.sources.keys import read_api_keys, write_api_keys
 from loomlog.sources.logs import (
     append_logs,
@@ -140,3 +142,66 @@ def test_days_are_compacted_and_listed_by_range(spark, tmp_path):
     late = spark.createDataFrame([log_row(ts=NOW - day, body="late")], LOGS)
     append_logs(late, path, "late")
     assert len(compact_days(spark, path, NOW)) == 1 and read_logs(spark, path).count() == 13
+
+
+def put(spark, path, load, *bodies):
+    append_logs(spark.createDataFrame([log_row(ts=NOW - DAY, body=b) for b in bodies], LOGS), path, load)
+
+
+def bodies(spark, path):
+    return sorted(r.body for r in read_logs(spark, path).collect())
+
+
+@pytest.mark.parametrize("step", range(6))
+def test_compaction_stopped_after_each_step_loses_and_repeats_nothing(spark, tmp_path, monkeypatch, step):
+    """The steps: copy, list, three deletes, move."""
+    path, steps = str(tmp_path / "logs"), []
+    for load in "abc":
+        put(spark, path, load, load)
+
+    def stopping(run):
+        def one(*args):
+            run(*args)
+            steps.append(run.__name__)
+            if len(steps) > step:
+                raise KeyboardInterrupt
+
+        return one
+
+    with monkeypatch.context() as patch:
+        for name in ("_write", "write_text", "delete", "move"):
+            if hasattr(store, name):
+                patch.setattr(store, name, stopping(getattr(store, name)))
+        with pytest.raises(KeyboardInterrupt):
+            compact_days(spark, path, NOW)
+    put(spark, path, "late", "late")
+    put(spark, path, "b", "b again")  # a replay of a load that the copy may hold
+    compact_days(spark, path, NOW)
+    assert bodies(spark, path) == ["a", "b again", "c", "late"]
+    assert len(list(Path(path).glob("day=*/load_id=*"))) == 1
+    put(spark, path, "late")
+    assert bodies(spark, path) == ["a", "b again", "c"]
+
+
+def test_compaction_whose_loads_are_all_deleted_is_finished(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "logs")
+    for load in "abc":
+        put(spark, path, load, load)
+    with monkeypatch.context() as patch, pytest.raises(OSError):
+        patch.setattr(store, "move", lambda *_: (_ for _ in ()).throw(OSError()))
+        compact_days(spark, path, NOW)
+    assert len(compact_days(spark, path, NOW)) == 1
+    assert bodies(spark, path) == ["a", "b", "c"] and compact_days(spark, path, NOW) == []
+
+
+def test_replay_after_compaction_replaces_the_load(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    for load in "ab":
+        put(spark, path, load, f"{load}1", f"{load}2")
+    compact_days(spark, path, NOW)
+    put(spark, path, "a", "a1")
+    assert bodies(spark, path) == ["a1", "b1", "b2"]
+    compact_days(spark, path, NOW)
+    put(spark, path, "b")
+    put(spark, path, "a")
+    assert bodies(spark, path) == []

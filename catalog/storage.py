@@ -8,12 +8,13 @@ from loomlog.operators.checks import split_bad_ids
 from loomlog.operators.dedup import dedup as drop_copies
 from loomlog.operators.dedup import diff_tables
 from loomlog.plans import search
-from loomlog.plans.alerts import alert_rates, flush_p99_approx
+from loomlog.plans.alerts import alert_rates, flush_counts, flush_p99_approx, flush_p99_of_counts
 from loomlog.session import scratch_path
 from loomlog.sources.export import read_export_batches
 from loomlog.sources.logs import append_logs, apply_retention, compact_days, read_logs, scan_logs
 from loomlog.streaming.dedup import stream_dedup
 from loomlog.streaming.ingest import stream_ingest, stream_rejects
+from loomlog.streaming.windows import newest_windows, stream_windows
 
 from .fixtures import (
     DAY,
@@ -34,7 +35,7 @@ from .fixtures import (
 )
 from .mapping import MAPPED_SQL, flat_maps
 from .registry import register
-from .reports import FIVE_MINUTES, RATES_SQL
+from .reports import FIVE_MINUTES, RANKED_SQL, RATES_SQL
 from .search import IN_MONTH, NEWEST, TENANT
 
 _STORED: dict[tuple[str, str], str] = {}
@@ -327,3 +328,32 @@ def stream_flush_p99(spark, sf_dir):
     """The approximate p99 is left out of the comparison; tests bound its error."""
     rows = pipeline_events_of(events_stream(spark, sf_dir))
     return _finished(spark, flush_p99_approx(rows), "flush").drop("p99")
+
+
+def _whole(spark, stream, label, by):
+    """A windowed stream over all there is, with the windows that are still open."""
+    out = scratch_path(spark, label)
+    stream_windows(stream, f"{out}/rows", f"{out}/checkpoint", available_now=True).awaitTermination()
+    return newest_windows(spark, f"{out}/rows", stream.schema, by)
+
+
+@register(
+    "stream_alert_rates_whole",
+    RATES_SQL.format(width=FIVE_MINUTES, starts=f"[at_us - at_us % {FIVE_MINUTES}]"),
+    (PIPELINE_SQL,),
+)
+def stream_alerts_whole(spark, sf_dir):
+    rows = pipeline_events_of(events_stream(spark, sf_dir))
+    return _whole(spark, alert_rates(rows), "alerts", ("window_start_us",))
+
+
+@register(
+    "stream_alert_flush_p99_whole",
+    f"SELECT window_start_us, window_start_us + {FIVE_MINUTES} AS window_end_us, n, p99, max FROM ("
+    + RANKED_SQL.format(group="window_start_us,", by="window_start_us")
+    + ")",
+    (PIPELINE_SQL,),
+)
+def stream_flush_p99_whole(spark, sf_dir):
+    counts = flush_counts(pipeline_events_of(events_stream(spark, sf_dir)))
+    return flush_p99_of_counts(_whole(spark, counts, "flush", ("window_start_us", "flush_us")))

@@ -170,6 +170,7 @@ def latency_summary(
     column: str,
     by: Sequence[str | Column] = (),
     percentiles: Sequence[float] = (0.5, 0.99),
+    times: str | None = None,
 ) -> DataFrame:
     """Nearest-rank percentiles and the maximum of a whole-number column, exactly.
 
@@ -177,14 +178,16 @@ def latency_summary(
     No task sorts a group: values are counted first, then ranked level by
     level on 21 bits each, so whatever the number of rows in a group, one
     window partition holds at most 2**21 entries (2**22 where values can be
-    negative).
+    negative). With `times`, a row counts as often as that column says.
     """
     named = [F.col(c) if isinstance(c, str) else c for c in by]
     data = rows.filter(F.col(column).isNotNull()).select(
-        *named, F.col(column).cast("bigint").alias("_v")
+        *named,
+        F.col(column).cast("bigint").alias("_v"),
+        (F.col(times) if times else F.lit(1)).cast("bigint").alias("_times"),
     )
-    groups = data.columns[:-1]
-    counted = data.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    groups = data.columns[:-2]
+    counted = data.groupBy(*groups, "_v").agg(F.sum("_times").alias("_n"))
     levels = counted.select(
         *groups,
         F.shiftright("_v", 2 * _LEVEL_BITS).alias("_high"),

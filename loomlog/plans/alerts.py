@@ -88,3 +88,17 @@ def flush_p99_approx(
         )
         .select(*_window_bounds(F.col("w")), "n", "p99", "max")
     )
+
+
+def flush_counts(events: DataFrame, window: str = WINDOW) -> DataFrame:
+    """How often each `flush_us` stands in each window, on a stream or table."""
+    counts = events.groupBy(F.window("at", window).alias("w"), "flush_us").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return counts.select(*_window_bounds(F.col("w")), "flush_us", "n")
+
+
+def flush_p99_of_counts(counts: DataFrame) -> DataFrame:
+    """Exact p99 per window from `flush_counts`."""
+    by = ["window_start_us", "window_end_us"]
+    return latency_summary(counts, "flush_us", by=by, percentiles=(0.99,), times="n")

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from loomlog.operators.dedup import diff_tables
 from loomlog.operators.mapping import map_batches
-from loomlog.plans.alerts import flush_p99, flush_p99_approx
+from loomlog.plans.alerts import alert_rates, flush_counts, flush_p99, flush_p99_approx, flush_p99_of_counts
 from loomlog.schema import LOGS
 from loomlog.sources.export import read_export_batches
 from loomlog.sources.logs import append_logs, read_logs
 from loomlog.streaming import ingest
 from loomlog.streaming.dedup import stream_dedup
+from loomlog.streaming.windows import newest_windows, stream_windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -212,3 +213,24 @@ def test_accepted_and_refused_come_from_one_decision(spark, tmp_path):
         ("typed", "unsupported_content_type"), ("large", "body_too_large"), ("silent", "missing_key"),
         ("wrong", "invalid_key"), (None, "missing_key"),
     }
+
+
+def test_late_rows_and_open_windows_of_a_stream_count(spark, tmp_path):
+    """Four files in reverse order of time: all but the first lie behind a watermark."""
+    rows = fixtures.pipeline_events(spark, SF)
+    cuts = rows.selectExpr("percentile_approx(unix_micros(at), array(0.25, 0.5, 0.75))").first()[0]
+    part = sum(((F.unix_micros("at") > cut).cast("int") for cut in cuts), F.lit(0))
+    for number in (3, 2, 1, 0):
+        rows.where(part == number).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run(make, by, label):
+        source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        stream, out = make(source), f"{tmp_path}/{label}"
+        stream_windows(stream, f"{out}/rows", f"{out}/checkpoint", available_now=True).awaitTermination(120)
+        return newest_windows(spark, f"{out}/rows", stream.schema, by)
+
+    got = run(alert_rates, ("window_start_us",), "rates")
+    assert sorted(got.collect()) == sorted(alert_rates(rows).collect())
+    p99 = flush_p99_of_counts(run(flush_counts, ("window_start_us", "flush_us"), "flush"))
+    columns = ("window_start_us", "n", "p99", "max")
+    assert sorted(p99.select(*columns).collect()) == sorted(flush_p99(rows).select(*columns).collect())

@@ -205,6 +205,27 @@ def tenant_isolation_check(spark, sf_dir):
     )
 
 
+@register(
+    "tenant_isolation_check_whole",
+    f"""SELECT count(*) AS returned, CAST(0 AS BIGINT) AS own_violations,
+        count(*) AS foreign_violations FROM logs WHERE {IN_MONTH} AND region = 'r'""",
+    (LOGS_SQL,),
+)
+def tenant_isolation_check_whole(spark, sf_dir):
+    """All rows of the search, whatever their number."""
+    table = logs(spark, sf_dir)
+    rows = search.log_query(
+        table, TENANT, [("region", "=", "r")], start=MONTH_START, limit=None, now_ns=NOW, max_limit=None
+    )
+    own = isolation_violations(table, TENANT, rows)
+    foreign = isolation_violations(table, "tenant-2", rows)
+    named = {"returned": rows, "own_violations": own, "foreign_violations": foreign}
+    first, *more = [frame.select(F.lit(name).alias("part")) for name, frame in named.items()]
+    for frame in more:
+        first = first.unionByName(frame)
+    return first.agg(*[F.count_if(F.col("part") == name).alias(name) for name in named])
+
+
 @register(
     "rows_as_json",
     """SELECT '{"attrs":{' || CASE WHEN attr_env IS NOT NULL

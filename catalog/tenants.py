@@ -149,3 +149,19 @@ def reconcile_counts(spark, sf_dir):
     """Stored rows lack one tenant, so a one-sided group shows too."""
     taken = accepted(routed(spark, sf_dir)).select("tenant_id", F.col("record_count").alias("rows"))
     return reconcile(taken, logs(spark, sf_dir).filter("tenant_id <> 'tenant-2'"), "tenant_id")
+
+
+@register(
+    "reconcile_counts_whole",
+    """, took AS (SELECT tenant_id, sum(record_count) AS accepted FROM routed
+      WHERE outcome = 'accepted' GROUP BY tenant_id),
+    kept AS (SELECT tenant_id, count(*) AS stored FROM logs GROUP BY tenant_id)
+    SELECT tenant_id, CAST(coalesce(accepted, 0) AS BIGINT) AS accepted,
+      coalesce(stored, 0) AS stored,
+      CAST(coalesce(accepted, 0) AS BIGINT) - coalesce(stored, 0) AS difference
+    FROM took FULL JOIN kept USING (tenant_id)""",
+    (REQUESTS_SQL, LOGS_SQL),
+)
+def reconcile_counts_whole(spark, sf_dir):
+    taken = accepted(routed(spark, sf_dir)).select("tenant_id", F.col("record_count").alias("rows"))
+    return reconcile(taken, logs(spark, sf_dir), "tenant_id")

@@ -94,9 +94,7 @@ def resolve_tenant(spark, sf_dir):
 )
 def resolve_tenant_salted(spark, sf_dir):
     """The way taken when the key table is too large to broadcast."""
-    found = tenants.resolve_tenant(
-        requests(spark, sf_dir), api_keys(spark, sf_dir), max_broadcast_bytes=0
-    )
+    found = tenants.resolve_tenant(requests(spark, sf_dir), api_keys(spark, sf_dir), "merge")
     return found.select("request_id", "tenant_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mapping import key_hash_col, request_key_col
 
+
 def live_keys(keys: DataFrame) -> DataFrame:
     return keys.filter(F.col("revoked_at").isNull()).select("key_hash", "tenant_id")
 
@@ -17,8 +18,8 @@ def with_key_hash(requests: DataFrame) -> DataFrame:
     return requests.withColumn("key_hash", key_hash_col(key))
 
 
-def lookup(requests: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Join requests to live keys on `key_hash`.
+def lookup(requests: DataFrame, keys: DataFrame, how: str, hint: str | None = None) -> DataFrame:
+    """Join requests to live keys on `key_hash`; `hint` names a join strategy to prefer.
 
     Spark broadcasts the keys below its threshold; else both sides are shuffled and
     adaptive execution splits a sender with a large share of the requests. Requests
@@ -27,13 +28,15 @@ def lookup(requests: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """
     none = F.concat(F.lit(":"), F.monotonically_increasing_id().cast("string"))
     known = live_keys(keys).withColumnRenamed("key_hash", "_key")
+    if hint:
+        known = known.hint(hint)
     keyed = requests.withColumn("_key", F.coalesce("key_hash", none))
     return keyed.join(known, "_key", how).drop("_key")
 
 
-def resolve_tenant(requests: DataFrame, keys: DataFrame) -> DataFrame:
+def resolve_tenant(requests: DataFrame, keys: DataFrame, hint: str | None = None) -> DataFrame:
     """Requests of a known, unrevoked key, with their `tenant_id`."""
-    return lookup(with_key_hash(requests), keys, "inner")
+    return lookup(with_key_hash(requests), keys, "inner", hint)
 
 
 def unknown_keys(requests: DataFrame, keys: DataFrame) -> DataFrame:

@@ -5,15 +5,13 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path[:0] = [str(Path(__file__).resolve().parent), str(Path(__file__).resolve().parent.parent)]
+
+from helpers import NOW, SECOND, log_row
 
 from loomlog.schema import LOGS
 from loomlog.session import local_session
 
-NOW = 1_706_659_200_000_000_000
-SECOND = 1_000_000_000
-DAY = 86_400 * SECOND
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -22,11 +20,6 @@ def spark():
     session.stop()
 
 
-def log_row(tenant="a", ts=NOW, severity="INFO", service="ledger", trace="", span="", body="",
-            attrs=None, resource=None):
-    return (tenant, ts, severity, service, trace, span, body, attrs or {}, resource or {})
-
-
 @pytest.fixture(scope="session")
 def seed_rows(spark):
     """Two rows of tenant a, one of tenant b, all of service ledger."""
@@ -40,10 +33,3 @@ def seed_rows(spark):
                 body="posting 17 rejected: period closed", **common),
     ]
     return spark.createDataFrame(rows, LOGS)
-
-
-def plan_of(frame, mode="formatted") -> str:
-    """The physical plan as text."""
-    return frame._jdf.queryExecution().explainString(
-        frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode)
-    )

@@ -3,7 +3,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 
-from conftest import NOW, SECOND, log_row
+from helpers import NOW, SECOND, log_row
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

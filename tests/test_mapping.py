@@ -4,7 +4,7 @@ import json
 import struct
 
 import pytest
-from conftest import DAY, NOW, SECOND
+from helpers import DAY, NOW, SECOND
 from pyspark.sql import functions as F
 
 from loomlog.functions import mapping as rules

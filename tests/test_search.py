@@ -4,7 +4,7 @@ import json
 import re
 
 import pytest
-from conftest import NOW, SECOND, log_row
+from helpers import NOW, SECOND, log_row
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

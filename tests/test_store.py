@@ -3,7 +3,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import pytest
-from conftest import DAY, NOW, SECOND, log_row, plan_of
+from helpers import DAY, NOW, SECOND, log_row, plan_of
 
 from loomlog.operators.checks import split_bad_ids
 from loomlog.operators.dedup import diff_tables

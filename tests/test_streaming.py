@@ -4,7 +4,7 @@ import json
 
 import pytest
 from catalog import fixtures
-from conftest import NOW, log_row
+from helpers import NOW, log_row
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import DAY, NOW, SECOND
+from helpers import DAY, NOW, SECOND
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import class_lm, disclosure, exact_dedup, graph_ann, licenses, mixing, near_dedup, packing, quality, toxicity
+from loomlog.llm import class_lm, disclosure, exact_dedup, graph_ann, licenses, mixing, near_dedup, packing, quality, swap_packing, toxicity
 from loomlog.llm.common import held_out, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,16 @@ def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(disclosure.written(F.col("base")), 256).alias("base_sha256"),
         disclosure.written(F.array_sort(F.concat("base", "terms"))).alias("spans"),
     )
+
+
+@query()
+def op12_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = swap_packing.pack(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
+    return pieces.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset",
+    )

@@ -54,6 +54,16 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+FLAT = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string()}
+
+
+def arrow_rows(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    """Rows of flat columns as one batch; works inside tasks, where no session is."""
+    fields = [pa.field(name, FLAT[kind]) for name, kind in (c.split() for c in ddl.split(", "))]
+    columns = zip(*rows) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=pa.schema(fields))
+
+
 def map_texts(
     docs: DataFrame, keep: str, make: Callable[[], Callable[[list[str | None]], Iterable[tuple]]], new: str
 ) -> DataFrame:

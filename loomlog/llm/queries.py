@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import class_lm, disclosure, exact_dedup, graph_ann, licenses, mixing, near_dedup, packing, quality, swap_packing, toxicity
+from loomlog.llm import burst_trie, class_lm, disclosure, exact_dedup, graph_ann, hard_negatives, licenses, mixing, near_dedup, packing, quality, swap_packing, toxicity
 from loomlog.llm.common import held_out, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,83 @@ def op12_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
         "sequence_id", "offset",
     )
+
+
+@query(
+    """
+    WITH rows AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+      FROM embeddings
+      WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: NOT coalesce(isfinite(x), false))) = 0),
+    scored AS (
+      SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same,
+             list_dot_product(a.v, r.v)::BIGINT AS score
+      FROM rows a JOIN rows r ON a.vec_id % 100 = 0 AND r.vec_id != a.vec_id AND len(a.v) = len(r.v)),
+    positives AS (
+      SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+           (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INT AS rank
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+    QUALIFY rank <= 5
+    """
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = stored(hard_negatives.valid(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label), "negative-rows")
+    miner = hard_negatives.Miner(rows)
+    anchors = rows.where("id % 100 = 0")
+    return miner.mine(anchors, miner.positives(anchors, k=5), k=5, share=(80, 100))
+
+
+@query(
+    """
+    WITH turns AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[:32]
+               || printf('%08X', strlen(coalesce(text, ''))) AS id
+      FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (
+      SELECT conv_id, list(id ORDER BY turn NULLS FIRST, id) AS ids,
+             list_reduce(
+               list_prepend(4294967295, flatten(list_transform(
+                 range(1, len(conv_id::VARCHAR) + 1),
+                 lambda i: [ascii((conv_id::VARCHAR)[i]), -1, -1, -1, -1, -1, -1, -1, -1]))),
+               lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END
+             ) AS crc
+      FROM turns GROUP BY conv_id),
+    rebuilt AS (
+      SELECT o.conv_id,
+             list_concat(coalesce(b.ids[:(xor(o.crc, 4294967295) % 9)], []), o.ids[xor(o.crc, 4294967295) % 9 + 1:]) AS ids
+      FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+    prefixes AS (
+      SELECT conv_id, unnest(range(len(ids) + 1)) AS depth, ids FROM rebuilt),
+    nodes AS (
+      SELECT depth, sha256(array_to_string(ids[:depth], '')) AS node, min(conv_id) AS conv_id, count(*) AS n_convs,
+             any_value(sha256(array_to_string(ids[:depth - 1], ''))) AS up, any_value(ids[:depth]) AS path,
+             string_agg(CASE WHEN len(ids) = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id) AS ends,
+             any_value(CASE WHEN depth > 0 THEN ('0x' || ids[depth][33:])::BIGINT ELSE 0 END) AS bytes
+      FROM prefixes GROUP BY 1, 2),
+    counted AS (
+      SELECT n.*, count(k.node) AS n_children
+      FROM nodes n LEFT JOIN nodes k ON k.depth = n.depth + 1 AND k.up = n.node
+      GROUP BY ALL),
+    above AS (
+      SELECT unnest(list_transform(range(depth + 1), lambda d: {'depth': d, 'node': sha256(array_to_string(path[:d], ''))}),
+                    recursive := true),
+             n_children = 0 AS leaf, (n_convs - 1) * bytes AS saved
+      FROM counted),
+    sums AS (
+      SELECT depth, node, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+      FROM above GROUP BY depth, node)
+    SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves, s.saved_tokens,
+           sha256(coalesce(c.ends, '')) AS ends_sha256
+    FROM counted c JOIN sums s USING (depth, node) LEFT JOIN nodes p ON p.depth = c.depth - 1 AND p.node = c.up
+    """
+)
+def op11_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = burst_trie.sequences(table(spark, sf_dir, "conversations"))
+    count = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    return burst_trie.trie(burst_trie.with_shared_beginnings(own, 5, count.cast("int")))

@@ -338,6 +338,106 @@ def export_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- the same requests as standard export JSON -------------------------------------
+
+
+def typed(kind: str, value: str) -> str:
+    """SQL of the JSON text of a value of one kind."""
+    return f"to_json(named_struct('{kind}', {value}))"
+
+
+def typed_pair(key: str, value: str | None) -> str:
+    name = f"'{{\"key\":\"{key}\"'"
+    return f"concat({name}, ',\"value\":', {value}, '}}')" if value else f"concat({name}, '}}')"
+
+
+def typed_list(*values: str) -> str:
+    return f"concat('{{\"arrayValue\":{{\"values\":[', concat_ws(',', {', '.join(values)}), ']}}}}')"
+
+
+def typed_map(*pairs: str) -> str:
+    return f"concat('{{\"kvlistValue\":{{\"values\":[', concat_ws(',', {', '.join(pairs)}), ']}}}}')"
+
+
+_TYPED_BODY = (
+    "case event_id % 5"
+    f" when 0 then {typed('stringValue', 'concat(event_type, chr(10), user_id)')}"
+    f" when 1 then {typed('intValue', 'cast(-user_id as string)')}"
+    f" when 2 then {typed('boolValue', 'user_id % 2 = 0')}"
+    f" when 3 then {typed('doubleValue', 'value')} else 'null' end"
+)
+_TYPED_TEXTS = [
+    typed_pair("k", typed("stringValue", "get_json_object(props, '$.k')")),
+    typed_pair("dup", typed("stringValue", "'first'")),
+    typed_pair("dup", typed("stringValue", "'last'")),
+    typed_pair("a.first", typed("stringValue", "event_type")),
+]
+#: {"z": [1, "x", 2.0], "b": {"n": user}, "b": none}: the last `b` counts.
+TYPED_TREE = typed_map(
+    typed_pair("z", typed_list(typed("intValue", "'1'"), typed("stringValue", "'x'"), typed("doubleValue", "2.0D"))),
+    typed_pair("b", typed_map(typed_pair("n", typed("intValue", "cast(user_id as string)")))),
+    typed_pair("b", None),
+)
+_TYPED_MIXED = [
+    *_TYPED_TEXTS,
+    typed_pair("value", typed("doubleValue", "value")),
+    typed_pair("flag", typed("boolValue", "event_id % 2 = 0")),
+    typed_pair("n", typed("intValue", "event_id")),
+    typed_pair("raw", typed("bytesValue", "base64(unhex('DEAD'))")),
+    typed_pair("none", "'{}'"),
+    typed_pair("list", TYPED_TREE),
+]
+
+
+def _joined_texts(*parts: str) -> str:
+    return f"concat('[', concat_ws(',', {', '.join(parts)}), ']')"
+
+
+def _texts_of(column: str):
+    return F.concat(F.lit("["), F.array_join(F.collect_list(column), ","), F.lit("]"))
+
+
+def standard_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests of `export_batches` as lines (`value`) of standard export JSON."""
+    plain = {
+        "timeUnixNano": "cast(time_unix_nano as string)",
+        "observedTimeUnixNano": "cast(observed_time_unix_nano as string)",
+        "severityNumber": "severity_number",
+        "severityText": "severity_text",
+        "traceId": "lower(hex(trace_id))",
+        "spanId": "hex(span_id)",
+    }
+    rows = events(spark, sf_dir).selectExpr(
+        "*", *[f"{sql} as {name}" for name, sql in _RECORD_COLUMNS.items()]
+    )
+    fields = ", ".join(f"'{name}', {sql}" for name, sql in plain.items())
+    head = f"to_json(named_struct({fields}))"
+    attributes = f"case when event_id % 3 = 0 then {_joined_texts(*_TYPED_TEXTS)} else {_joined_texts(*_TYPED_MIXED)} end"
+    record = f"""concat(left({head}, length({head}) - 1), ',"body":', {_TYPED_BODY}, ',"attributes":', {attributes}, '}}')"""
+    scopes = (
+        rows.select("rid", "event_type", F.expr("event_id % 2").alias("scope"), F.expr(record).alias("record"))
+        .groupBy("rid", "event_type", "scope")
+        .agg(F.concat(F.lit('{"scope":{"name":"s"},"logRecords":'), _texts_of("record"), F.lit("}")).alias("scope_text"))
+    )
+    host = typed_pair("host", typed("intValue", "cast(rid as string)"))
+    name = typed_pair("service.name", typed("stringValue", "event_type"))
+    own = f"case when event_type = 'view' then {_joined_texts(host)} else {_joined_texts(name, host)} end"
+    resources = (
+        scopes.groupBy("rid", "event_type")
+        .agg(_texts_of("scope_text").alias("scope_texts"))
+        .selectExpr("rid", f"""concat('{{"resource":{{"attributes":', {own}, '}},"scopeLogs":', scope_texts, '}}') as resource_text""")
+    )
+    key = "case when rid % 11 = 5 then concat('nokey-', rid) else concat('key-', rid) end"
+    headers = f"""to_json(named_struct('request_id', cast(rid as string),
+        'x_api_key', case when rid % 3 <> 0 then {key} end,
+        'authorization', case when rid % 3 = 0 then concat('Bearer ', {key}) end))"""
+    return (
+        resources.groupBy("rid")
+        .agg(_texts_of("resource_text").alias("resource_texts"))
+        .selectExpr(f"""concat(left({headers}, length({headers}) - 1), ',"resourceLogs":', resource_texts, '}}') as value""")
+    )
+
+
 # --- requests and pipeline events -------------------------------------------------
 
 MAX_TEST_ROWS = 40

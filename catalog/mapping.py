@@ -11,15 +11,20 @@ from loomlog.session import scratch_path
 from loomlog.sources.export import read_export_batches
 
 from .fixtures import (
+    typed,
+    typed_list,
+    typed_map,
     ATTRS_TEXT_SQL,
     KEYS_SQL,
     NOW,
     RECORDS_SQL,
+    TYPED_TREE,
     api_keys,
     events,
     export_batches,
     map_text,
     raw_records,
+    standard_exports,
 )
 from .registry import register
 
@@ -166,6 +171,57 @@ def read_batches(spark, sf_dir):
     return landed.select("request_id", "x_api_key", "authorization", "record_count", "readable")
 
 
+def landed_standard(spark, sf_dir):
+    path = scratch_path(spark, "landing-standard")
+    standard_exports(spark, sf_dir).write.text(path)
+    return read_export_batches(spark, path, "otlp_json")
+
+
+@register(
+    "read_export_standard",
+    """SELECT CAST(rid AS VARCHAR) AS request_id, CASE WHEN rid % 3 <> 0 THEN api_key END
+        AS x_api_key, CASE WHEN rid % 3 = 0 THEN 'Bearer ' || api_key END AS "authorization",
+      count(*) AS record_count, true AS readable
+      FROM records JOIN senders USING (rid) GROUP BY rid, api_key""",
+    RECORDS,
+)
+def read_standard(spark, sf_dir):
+    landed = with_record_count(landed_standard(spark, sf_dir))
+    return landed.select("request_id", "x_api_key", "authorization", "record_count", "readable")
+
+
+@register("map_export_standard", MAPPED_SQL, (RECORDS_SQL, KEYS_SQL))
+def map_standard(spark, sf_dir):
+    """From the standard's own JSON, with typed values nested in lists and maps."""
+    return flat_maps(map_batches(landed_standard(spark, sf_dir), api_keys(spark, sf_dir), NOW))
+
+
+@register(
+    "stringify_nested_trees",
+    """SELECT 's' || event_id AS span_id,
+      '[{"b":null,"z":[1,"x",2.0]},"' || event_type || '\\n\\"",[[[' || user_id || ',true,"dead",null]],{}],null,[]]' AS text
+      FROM records""",
+    RECORDS,
+)
+def stringify_trees(spark, sf_dir):
+    """Lists and maps inside one another, from typed trees read as standard JSON."""
+    inner = typed_list(
+        typed("intValue", "cast(user_id as string)"), typed("boolValue", "true"),
+        typed("bytesValue", "'3q0='"), typed("doubleValue", "'NaN'"),
+    )
+    tree = typed_list(
+        TYPED_TREE, typed("stringValue", "concat(event_type, chr(10), chr(34))"),
+        typed_list(typed_list(inner), typed_map("cast(null as string)")), "'{}'", typed_list("cast(null as string)"),
+    )
+    line = f"""concat('{{"resourceLogs":[{{"scopeLogs":[{{"logRecords":[{{"severityText":"s', event_id, '","body":', {tree}, '}}]}}]}}]}}')"""
+    path = scratch_path(spark, "landing-trees")
+    events(spark, sf_dir).selectExpr(f"{line} as value").write.text(path)
+    records = explode_records(read_export_batches(spark, path, "otlp_json"))
+    return records.select(
+        F.col("record.severity_text").alias("span_id"), rules.any_value_col("record.body").alias("text")
+    )
+
+
 @register(
     "normalize_time",
     """SELECT event_id, CASE event_id % 8

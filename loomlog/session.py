@@ -16,6 +16,8 @@ SQL_SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     # Upper and lower case by the JVM: equal results, and no second-long start of ICU.
     "spark.sql.icu.caseMappings.enabled": "false",
+    # Requests differ in size: a batch handed to Python is bounded in bytes, not rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }

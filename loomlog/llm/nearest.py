@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,8 @@ import numpy as np
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Blocks opened at once.
 STEP = 8
+#: Random axes that put similar examples together.
+SKETCH = 64
 
 
 @dataclass
@@ -58,18 +61,22 @@ class BlockMaxIndex:
 
     @classmethod
     def build(
-        cls, rows: list[dict[int, int]], vocabulary: dict[str, int], idf: np.ndarray, block: int = 64
+        cls, rows: Iterable[dict[int, int]], vocabulary: dict[str, int], idf: np.ndarray, block: int = 64
     ) -> BlockMaxIndex:
-        """`rows`: for each example its counts by term number."""
-        dense = np.zeros((len(rows), len(vocabulary)), np.float32)
-        for i, counts in enumerate(rows):
-            ids, weights = weigh(counts, idf)
-            dense[i, ids] = weights
-        order = similar_first(dense)
-        cuts = [dense[order[i : i + block]] for i in range(0, len(order), block)]
-        terms = [np.flatnonzero(cut.any(0)) for cut in cuts]
-        lists = [np.ascontiguousarray(cut[:, t].T) for cut, t in zip(cuts, terms)]
-        largest = np.stack([cut.max(0) for cut in cuts], 1)
+        """`rows`: for each example its counts by term number; read once, kept as weights."""
+        weighed = [weigh(counts, idf) for counts in rows]
+        order = similar_first(weighed, len(vocabulary))
+        starts = range(0, len(order), block)
+        terms, lists, largest = [], [], np.zeros((len(vocabulary), len(starts)), np.float32)
+        for b, at in enumerate(starts):
+            some = [weighed[i] for i in order[at : at + block]]
+            own = np.unique(np.concatenate([ids for ids, _ in some]))
+            cut = np.zeros((len(own), len(some)), np.float32)
+            for j, (ids, weights) in enumerate(some):
+                cut[np.searchsorted(own, ids), j] = weights
+            terms.append(own)
+            lists.append(cut)
+            largest[own, b] = cut.max(1)
         return cls(vocabulary, idf, order, block, terms, lists, largest)
 
     def numbers(self, counts: Counter) -> dict[int, int]:
@@ -103,12 +110,16 @@ class BlockMaxIndex:
         return self.examples[best], np.take_along_axis(cosine, best, 1).astype(np.float64)
 
 
-def similar_first(dense: np.ndarray) -> np.ndarray:
-    """An order in which similar examples stand together, so that block bounds are tight."""
-    n = len(dense)
+def similar_first(weighed: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+    """An order in which similar examples stand together, so that block bounds are tight.
+
+    By the leading axes of the examples' random projection; the results of a search
+    do not depend on it.
+    """
+    n = len(weighed)
     if n < 2:
         return np.arange(n)
-    _, vectors = np.linalg.eigh(dense.astype(np.float64) @ dense.T.astype(np.float64))
-    axes = vectors[:, ::-1][:, 1 : min(n, 5)]
-    signs = axes >= 0
-    return np.lexsort((*axes.T[:1], *signs.T[::-1]))
+    signs = np.random.default_rng(0).choice(np.array([-1, 1], np.float32), (size, SKETCH))
+    sketch = np.stack([weights.astype(np.float32) @ signs[ids] for ids, weights in weighed])
+    axes = np.linalg.svd(sketch, full_matrices=False)[0][:, 1 : min(n, 5)]
+    return np.lexsort((*axes.T[:1], *(axes >= 0).T[::-1]))

@@ -89,21 +89,33 @@ def fit(
     prior, sample = labelled_examples(docs, labelled, "toxic", per_class)
     ids = np.array([doc_id for doc_id, _, _ in sample], np.int64)
     toxic = np.array([label for _, label, _ in sample], np.int64)
-    counts_of = [terms(text) for _, _, text in sample]
-    spread = Counter(t for counts in counts_of for t in counts)
-    vocabulary = {t: i for i, t in enumerate(sorted(t for t, n in spread.items() if n > 1))}
+    numbers: dict[str, int] = {}
+    held = []  # of each example its terms' numbers and counts
+    for counts in (terms(text) for _, _, text in sample):
+        own = np.fromiter((numbers.setdefault(t, len(numbers)) for t in counts), np.int64, len(counts))
+        held.append((own, np.fromiter(counts.values(), np.int64, len(counts))))
+    del sample
+    spread = np.bincount(np.concatenate([n for n, _ in held] or [np.zeros(0, np.int64)]), minlength=len(numbers))
+    vocabulary = {t: i for i, t in enumerate(sorted(t for t, n in numbers.items() if spread[n] > 1))}
     if len(set(toxic)) < 2 or not vocabulary:
         return Model(None, ids, toxic, 1, prior, (0.0, 0.0), terms)
     n_docs, df = document_frequencies(docs, vocabulary, terms)
     idf = np.log((n_docs + 1.0) / (df + 1.0)) ** idf_power
-    rows = [{vocabulary[t]: c for t, c in counts.items() if t in vocabulary} for counts in counts_of]
-    index = BlockMaxIndex.build(rows, vocabulary, idf)
+    place = np.full(len(numbers), -1)
+    place[[numbers[t] for t in vocabulary]] = np.arange(len(vocabulary))
+
+    def counts_of(example: int) -> dict[int, int]:
+        own, counts = held[example]
+        return {i: c for i, c in zip(place[own].tolist(), counts.tolist()) if i >= 0}
+
+    index = BlockMaxIndex.build((counts_of(i) for i in range(len(held))), vocabulary, idf)
     k = max(5, round(neighbours * min(toxic.sum(), (1 - toxic).sum())))
     share = np.zeros(len(ids))
-    found, cosine = index.search(rows, k + 1)
-    for i, (near, cos) in enumerate(zip(found, cosine)):  # its own vote left out
-        others = np.flatnonzero(near != i)[:k]
-        share[i] = vote(toxic[near[others]], cos[others])
+    for first in range(0, len(held), BLOCK):
+        some = range(first, min(first + BLOCK, len(held)))
+        for i, near, cos in zip(some, *index.search([counts_of(i) for i in some], k + 1)):
+            others = np.flatnonzero(near != i)[:k]  # its own vote left out
+            share[i] = vote(toxic[near[others]], cos[others])
     weights = np.where(toxic == 1, prior / toxic.sum(), (1 - prior) / (1 - toxic).sum()) * len(ids)
     return Model(index, ids, toxic, k, prior, logistic(share, toxic, weights), terms)
 

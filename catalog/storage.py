@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from loomlog.operators.checks import split_bad_ids
 from loomlog.operators.dedup import dedup as drop_copies
-from loomlog.operators.dedup import diff_tables
+from loomlog.operators.dedup import diff_stored
 from loomlog.plans import search
 from loomlog.plans.alerts import alert_rates, flush_counts, flush_p99_approx, flush_p99_of_counts
 from loomlog.session import scratch_path
 from loomlog.sources.export import read_export_batches
 from loomlog.sources.logs import append_logs, apply_retention, compact_days, read_logs, scan_logs
+from loomlog.sources.traces import read_trace_logs
 from loomlog.streaming.dedup import stream_dedup
 from loomlog.streaming.ingest import stream_ingest, stream_rejects
 from loomlog.streaming.windows import newest_windows, stream_windows
@@ -127,6 +128,42 @@ def trace_lookup_stored(spark, sf_dir):
     return flat(search.trace_lookup(table, TENANT, hashlib.md5(b"77").hexdigest()))
 
 
+@register(
+    "trace_lookup_indexed",
+    f"""SELECT {FLAT} FROM logs WHERE tenant_id = '{TENANT}' AND trace_id = md5('77')
+      ORDER BY ts, span_id, service, severity, body""",
+    (LOGS_SQL,),
+)
+def trace_lookup_indexed(spark, sf_dir):
+    """Only the days that the index of traces names are read, of a table compacted since."""
+    import hashlib
+
+    path, rows = scratch_path(spark, "traces"), logs(spark, sf_dir)
+    for part in range(2):  # the second load is left to the compaction
+        append_logs(rows.where(F.pmod(F.xxhash64("span_id"), F.lit(2)) == part), path, f"eu:{part}", index=not part)
+    compact_days(spark, path, NOW - 5 * DAY)
+    trace = hashlib.md5(b"77").hexdigest()
+    return flat(search.trace_lookup(read_trace_logs(spark, path, trace), TENANT, trace))
+
+
+@register(
+    "replay_odd_load_id",
+    f"SELECT tenant_id, {FLAT} FROM logs WHERE ts >= {MONTH_START + 9 * DAY}",
+    (LOGS_SQL,),
+)
+def replay_odd(spark, sf_dir):
+    """A smaller replay of a load whose id has characters that folders spell otherwise,
+    after its days were compacted with those of another load."""
+    path, rows = scratch_path(spark, "replay-odd"), logs(spark, sf_dir)
+    early = rows.where(F.col("ts") < MONTH_START + 9 * DAY)
+    append_logs(rows, path, "eu:1/a=b %*")
+    append_logs(early, path, "eu:1/a=b")
+    compact_days(spark, path, NOW + DAY)
+    append_logs(rows.where(F.col("ts") >= MONTH_START + 9 * DAY), path, "eu:1/a=b %*")
+    append_logs(rows.limit(0), path, "eu:1/a=b")
+    return flat(read_logs(spark, path))
+
+
 LATER = NOW + 12 * DAY + DAY // 2
 
 
@@ -181,9 +218,30 @@ def roundtrip_check(spark, sf_dir):
     return (
         count(rows, "written")
         .crossJoin(count(stored, "stored"))
-        .crossJoin(count(diff_tables(rows, stored), "differing"))
-        .crossJoin(count(diff_tables(rows, lost), "differing_when_lost"))
+        .crossJoin(count(diff_stored(rows, stored), "differing"))
+        .crossJoin(count(diff_stored(rows, lost), "differing_when_lost"))
+    )
+
+
+@register(
+    "roundtrip_check_planted",
+    """SELECT span_id, body, surplus FROM (
+        SELECT span_id, body, 1 AS surplus FROM logs WHERE event_id % 1000 = 7
+        UNION ALL SELECT span_id, body || '!', -1 FROM logs WHERE event_id % 1000 = 7
+        UNION ALL SELECT span_id, body, -2 FROM logs WHERE event_id % 1000 = 500)""",
+    (LOGS_SQL,),
+)
+def roundtrip_planted(spark, sf_dir):
+    """A stored table in which some rows were changed and some stand three times."""
+    rows = logs(spark, sf_dir)
+    marked = events(spark, sf_dir).select(
+        F.expr("substring(md5(concat('s', event_id)), 1, 16)").alias("span_id"), (F.col("event_id") % 1000).alias("mark")
     )
+    stored = read_logs(spark, stored_path(spark, sf_dir)).select(*rows.columns).join(marked, "span_id")
+    changed = stored.withColumn("body", F.when(F.col("mark") == 7, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
+    again = stored.where("mark = 500")
+    planted = changed.unionByName(again).unionByName(again).select(*rows.columns)
+    return diff_stored(rows, planted).select("span_id", "body", F.col("surplus").cast("int").alias("surplus"))
 
 
 @register("dedup", f"SELECT tenant_id, {FLAT} FROM logs", (LOGS_SQL,))

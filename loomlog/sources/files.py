@@ -41,6 +41,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     move(spark, f"{path}.part", path)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, whether or not there is one already."""
+    files, root = _open(spark, path)
+    files.create(root, True).close()
+
+
 def move(spark: SparkSession, source: str, target: str) -> None:
     files, root = _open(spark, source)
     goal = spark._jvm.org.apache.hadoop.fs.Path(target)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from ..functions.mapping import NANOS_MAX, NANOS_MIN, NS_PER_DAY
 from ..functions.times import day_col, day_of
 from ..operators.filters import in_range
 from ..schema import LOGS, PARTITION_COLUMNS, RESULT_COLUMNS, STORED_LOGS
+from . import traces
 from .files import delete, folders, move, read_text, write_text
 
 # Days a row is kept, false-positive rate of the trace filter.
@@ -53,7 +56,20 @@ def scan_logs(spark: SparkSession, path: str) -> DataFrame:
     return read_logs(spark, path).select(*RESULT_COLUMNS)
 
 
-def append_logs(rows: DataFrame, path: str, load_id: str) -> None:
+def folder_name(load_id: str) -> str:
+    """The load's name in folders: what a storage, a glob or Spark itself would read
+    otherwise is written as ~ and two hexadecimal digits per byte."""
+    if not load_id:
+        raise ValueError("a load needs an id")
+    coded = re.sub(
+        r"[^A-Za-z0-9._-]", lambda m: "".join(f"~{b:02X}" for b in m[0].encode()), load_id
+    )
+    return f"~{ord(coded[0]):02X}{coded[1:]}" if coded == COMPACTED.partition("=")[2] else coded
+
+
+def append_logs(
+    rows: DataFrame, path: str, load_id: str, fresh: bool = False, index: bool = True
+) -> None:
     """Store rows by day, clustered by (tenant, service, ts).
 
     One shuffle on (day, tenant). It is a rebalance, so adaptive execution
@@ -62,18 +78,27 @@ def append_logs(rows: DataFrame, path: str, load_id: str) -> None:
     attempt has stored under it goes first, in all days, so that storing it again
     leaves exactly the rows given now, be they fewer, of other days or none. That
     holds for what `compact_days` has taken over since, too: those days are rewritten.
+
+    `fresh` promises that no load of this id was ever stored: nothing is looked up
+    then, so that the cost of storing does not follow the table's age. The load's
+    traces are indexed (see `traces`); without `index` the load stays marked instead, which
+    saves a job now, and a trace lookup looks into it until its days are compacted.
     """
-    spark = rows.sparkSession
-    _take_out(spark, path, load_id)
-    for folder in folders(spark, f"{path}/day=*/load_id={load_id}"):
-        delete(spark, folder)
+    spark, load = rows.sparkSession, folder_name(load_id)
+    if not fresh:
+        _take_out(spark, path, load)
+        for folder in folders(spark, f"{path}/day=*/load_id={load}"):
+            delete(spark, folder)
+    marked = traces.begin(spark, path, load)
     stored = rows.select(*LOGS.names).withColumns(
-        {"day": day_col(F.col("ts")), "load_id": F.lit(load_id)}
+        {"day": day_col(F.col("ts")), "load_id": F.lit(load)}
     )
     clustered = stored.hint(
         "rebalance", F.col("day"), F.col("tenant_id")
     ).sortWithinPartitions(*PARTITION_COLUMNS, "tenant_id", "service", "ts")
     _write(clustered, path, PARTITION_COLUMNS)
+    if marked:
+        (traces.add_load if index else traces.settle)(spark, path, load)
 
 
 def _write(rows: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
@@ -128,7 +153,9 @@ def compact_days(spark: SparkSession, path: str, before_ns: int) -> list[str]:
     name of their load, so `append_logs` can still replace it. Days are rewritten
     one by one; only one call, or replay of a load taken over, may run at a time.
     """
-    done = {_finish(spark, path, day) for day in _staged_days(spark, path)}
+    staged = _staged_days(spark, path)
+    taken = set().union(*(_loads_of(spark, f"{path}/{STAGED}/day={day}") for day in staged))
+    done = {_finish(spark, path, day) for day in staged}
     for folder in folders(spark, f"{path}/day=*"):
         day = folder.rpartition("day=")[2]
         loads = folders(spark, f"{folder}/load_id=*")
@@ -136,8 +163,11 @@ def compact_days(spark: SparkSession, path: str, before_ns: int) -> list[str]:
         if day >= day_of(before_ns).isoformat() or len(loads) - len(ready) < (1 if ready else 2):
             continue
         held = {p.rpartition("load_id=")[2] for p in loads if p not in ready}
+        taken |= held
         _stage(spark, path, day, _with_source(spark, path, loads), held | _loads_of(spark, f"{folder}/{COMPACTED}"))
         done.add(_finish(spark, path, day))
+    if traces.is_indexed(spark, path):
+        traces.merge(spark, path, taken)
     return sorted(done)
 
 
@@ -164,6 +194,10 @@ def _stage(spark: SparkSession, path: str, day: str, rows: DataFrame, held: set[
     staged = f"{path}/{STAGED}/day={day}"
     clustered = rows.hint("rebalance", F.col("tenant_id"))
     _write(clustered.sortWithinPartitions("tenant_id", "service", "ts"), staged)
+    if held.intersection(traces.marked_loads(spark, path)):  # their entries are not written yet
+        hashes = spark.read.schema(LOGS).parquet(staged).where("trace_id != ''")
+        entries = hashes.select(traces.trace_hash(F.col("trace_id")).alias("trace_hash"), F.lit(day).cast("date").alias("day"))
+        traces.write_entries(entries.distinct(), path, f"day-{day}-{uuid.uuid4().hex}")
     write_text(spark, f"{staged}/{LOADS}", json.dumps(sorted(held)))
 
 

@@ -17,7 +17,7 @@ from ..operators.mapping import map_resolved, with_record_count
 from ..operators.tenants import live_keys, lookup, resolve_tenant, with_key_hash
 from ..schema import LOGS
 from ..session import configure
-from ..sources.files import folders
+from ..sources.files import delete, folders
 from ..sources.logs import append_logs
 
 LOG = logging.getLogger(__name__)
@@ -69,11 +69,13 @@ def stream_ingest(
     With `rejects`, all rules for requests apply (content type, key, body size,
     readability, number of records), and those refused are written there with
     their outcome. The keys of a micro-batch are then kept with it: one decision
-    for both outputs, also when the batch runs again after a key has changed.
+    for both outputs, also when the batch runs again after a key has changed. They go
+    when the next micro-batch has been stored.
     Batch size is the source's business: set `maxFilesPerTrigger` or
     `maxBytesPerTrigger` when reading.
     """
     configure(requests.sparkSession)
+    handled: list[str] = []  # by this process; only its first micro-batch can have run before
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         load_id = f"{name}-{query_id(batch, checkpoint)}-{batch_id:012d}"
@@ -87,9 +89,12 @@ def stream_ingest(
             known = resolve_tenant(batch, load_keys())
         now = F.col("arrived_ns") if now_ns is None else now_ns
         rows = map_resolved(known, now, clamped=True)
-        counts = _flush(rows, path, load_id, dead_letters, write)
+        counts = _flush(rows, path, load_id, dead_letters, write, fresh=bool(handled))
         if metrics:
             _record(batch, f"{metrics}/load_id={load_id}", counts)
+        if rejects and handled:  # Spark has committed the batch before this one
+            delete(batch.sparkSession, f"{rejects}/_keys/load_id={handled.pop()}")
+        handled[:] = [load_id]
 
     return _start(requests, handle, checkpoint, available_now, interval)
 
@@ -109,10 +114,13 @@ def query_id(batch: DataFrame, checkpoint: str) -> str:
 
 
 def _flush(
-    rows: DataFrame, path: str, load_id: str, dead_letters: str, write: Writer
+    rows: DataFrame, path: str, load_id: str, dead_letters: str, write: Writer, fresh: bool
 ) -> dict[str, int]:
     """Store one micro-batch: a few attempts, then the dead-letter table.
 
+    The usual writer is told what cannot have been stored before, and leaves the index of
+    traces to the compaction of the day.
+
     Rows are never dropped. If the dead-letter table cannot be written either,
     the error ends the stream, and the batch runs again at the next start.
     """
@@ -121,7 +129,10 @@ def _flush(
         observed = observe_rows(rows, seen).select(*LOGS.names)
         began = time.monotonic()
         try:
-            write(observed, path, load_id)
+            if write is append_logs:
+                append_logs(observed, path, load_id, fresh=fresh and attempt == 1, index=False)
+            else:
+                write(observed, path, load_id)
             return _counts(seen, began, None)
         except Exception:
             LOG.exception("flush of %s failed (attempt %d)", load_id, attempt)

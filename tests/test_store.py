@@ -49,7 +49,7 @@ def test_files_are_clustered_and_carry_a_trace_filter(spark, tmp_path):
 
     path = str(tmp_path / "logs")
     append_logs(rows_of(spark, days=1, per_day=400), path, "one")
-    files = sorted(Path(path).rglob("*.parquet"))
+    files = sorted(Path(path).glob("day=*/**/*.parquet"))
     for file in files:
         table = pq.read_table(file, columns=["tenant_id", "service", "ts"]).to_pylist()
         order = [(r["tenant_id"], r["service"], r["ts"]) for r in table]

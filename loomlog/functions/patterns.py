@@ -11,12 +11,15 @@ linear in the text.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .literals import required_texts
+
 # '.' takes any character, '\n' is the only line end, case folding is Unicode's.
 _FLAGS = "(?sdu)"
 
@@ -168,11 +171,21 @@ def full_match(spark: SparkSession, text: Column, pattern: str) -> Column:
 
 
 def search_match(spark: SparkSession, text: Column, pattern: str) -> Column:
-    """`pattern` occurs somewhere in `text`."""
+    """`pattern` occurs somewhere in `text`.
+
+    Texts that the pattern needs are looked for first; only where they stand is the
+    matcher run (and only those texts are handed to Arrow).
+    """
     if _PLAIN.fullmatch(pattern):
         return text.contains(pattern)
     compiled = check_pattern(spark, pattern)
-    return text.rlike(compiled) if runs_alike(pattern) else arrow_match(text, pattern)
+    tests = [reduce(Column.__or__, map(text.contains, texts)) for texts in required_texts(pattern)]
+    first = reduce(Column.__and__, tests) if tests else None
+    if runs_alike(pattern):
+        found = text.rlike(compiled)
+    else:
+        found = arrow_match(text if first is None else F.when(first, text), pattern)
+    return found if first is None else first & found
 
 
 def valid_trace_id_col(text: Column) -> Column:

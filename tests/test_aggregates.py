@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomlog.operators import aggregates
-from loomlog.operators.dedup import dedup, diff_tables, with_fingerprint
+from loomlog.operators.dedup import checksums, dedup, diff_stored, diff_tables, with_fingerprint
 from loomlog.schema import LOGS
 
 
@@ -94,3 +94,45 @@ def test_equal_rows_whatever_the_map_order(spark):
     got = {r.tenant_id: r.surplus for r in diff_tables(left, right).collect()}
     assert got == {"a": 1, "b": 1, "c": -1}
     assert diff_tables(left, left).count() == 0
+
+
+def shuffled_rows(frame) -> list[int]:
+    """Rows that each shuffle of the frame wrote, by its own metric."""
+    frame.collect()
+    written, todo = [], [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Exchange":
+            written.append(node.metrics().apply("shuffleRecordsWritten").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if "AdaptiveSparkPlan" in node.nodeName():
+            todo.append(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+    return written
+
+
+def test_equal_stored_tables_shuffle_sums_only(spark):
+    rows = [(i, f"t{i % 3}", {"b": str(i), "a": "x"}, None if i % 5 else 1.5) for i in range(3000)]
+    schema = "id bigint, tenant string, attrs map<string,string>, part double"
+    left = spark.createDataFrame(rows, schema).repartition(3)
+    other = [(i, t, dict(reversed(a.items())), p) for i, t, a, p in reversed(rows)]  # maps in another order
+    right = spark.createDataFrame(other, schema).repartition(5)
+    assert diff_stored(left, right).count() == 0
+    assert shuffled_rows(checksums(left, 16))[0] <= 16 * 3  # the other is that of `left` itself
+    same = diff_stored(left, right, ranges=16)
+    assert same.columns == [*left.columns, "surplus"] and sum(shuffled_rows(same)) == 0
+
+
+def test_planted_differences_are_found(spark):
+    rows = [(i, None if i == 7 else f"t{i % 3}", {"k": str(i)}) for i in range(2000)]
+    schema = "id bigint, tenant string, attrs map<string,string>"
+    changed = [(i, "" if i == 7 else t, {"k": "other"} if i == 500 else a) for i, t, a in rows if i != 900]
+    left, right = spark.createDataFrame(rows, schema), spark.createDataFrame(changed + [rows[3], rows[3]], schema)
+    found = diff_stored(left, right)
+    got = sorted((r.id, r.tenant or "-", r.attrs["k"], r.surplus) for r in found.collect())
+    assert got == [
+        (3, "t0", "3", -2), (7, "-", "7", -1), (7, "-", "7", 1), (500, "t2", "500", 1), (500, "t2", "other", -1), (900, "t0", "900", 1),
+    ]
+    assert max(shuffled_rows(found)) < 100  # rows of the ranges that differ
+    assert diff_stored(left, left.limit(0)).count() == 2000 and diff_stored(left.limit(0), left.limit(0)).count() == 0

@@ -8,13 +8,25 @@ from loomlog.operators.checks import split_bad_ids
 from loomlog.operators.dedup import dedup as drop_copies
 from loomlog.operators.dedup import diff_stored
 from loomlog.plans import search
-from loomlog.plans.alerts import alert_rates, flush_counts, flush_p99_approx, flush_p99_of_counts
+from loomlog.plans.alerts import (
+    RATE_MERGES,
+    SKETCH_MERGES,
+    alert_rates,
+    alert_sums,
+    flush_counts,
+    flush_p99_approx,
+    flush_p99_of_counts,
+    flush_sketches,
+    p99_of_sketches,
+    rates_of_sums,
+)
 from loomlog.session import scratch_path
 from loomlog.sources.export import read_export_batches
 from loomlog.sources.logs import append_logs, apply_retention, compact_days, read_logs, scan_logs
 from loomlog.sources.traces import read_trace_logs
 from loomlog.streaming.dedup import stream_dedup
 from loomlog.streaming.ingest import stream_ingest, stream_rejects
+from loomlog.streaming.partials import compact_partials, merged, read_partials, stream_partials
 from loomlog.streaming.windows import newest_windows, stream_windows
 
 from .fixtures import (
@@ -32,6 +44,7 @@ from .fixtures import (
     export_batches,
     flat,
     logs,
+    pipeline_events,
     pipeline_events_of,
 )
 from .mapping import MAPPED_SQL, flat_maps
@@ -415,3 +428,50 @@ def stream_alerts_whole(spark, sf_dir):
 def stream_flush_p99_whole(spark, sf_dir):
     counts = flush_counts(pipeline_events_of(events_stream(spark, sf_dir)))
     return flush_p99_of_counts(_whole(spark, counts, "flush", ("window_start_us", "flush_us")))
+
+
+def _partials(spark, sf_dir, label, partial, merges):
+    """A stream's partial windows, merged: some while storing, the rest while reading."""
+    out, events_ = scratch_path(spark, label), events_stream(spark, sf_dir)
+    rows = pipeline_events_of(events_)
+    # Parts as several micro-batches would leave them: by hash, so that every part is late for the others.
+    for part in range(3):
+        some = rows.where(F.pmod(F.xxhash64("arrived_ns"), F.lit(3)) == part)
+        stream_partials(some, partial, "w.start", f"{out}/rows", f"{out}/checkpoint-{part}", available_now=True).awaitTermination()
+    schema = partial(pipeline_events_of(events(spark, sf_dir))).schema
+    compact_partials(spark, f"{out}/rows", schema, ["w"], merges, "9999-01-01")
+    return merged(read_partials(spark, f"{out}/rows", schema), ["w"], merges)
+
+
+@register(
+    "stream_alert_rates_partial",
+    RATES_SQL.format(width=FIVE_MINUTES, starts=f"[at_us - at_us % {FIVE_MINUTES}]"),
+    (PIPELINE_SQL,),
+)
+def stream_alerts_partial(spark, sf_dir):
+    """No watermark, no state, no window left out: partial sums in a table."""
+    return rates_of_sums(_partials(spark, sf_dir, "alert-partials", alert_sums, RATE_MERGES))
+
+
+@register(
+    "stream_alert_flush_p99_partial",
+    f"""SELECT window_start_us, window_start_us + {FIVE_MINUTES} AS window_end_us, n, max, true AS p99_within FROM (
+      SELECT at_us - at_us % {FIVE_MINUTES} AS window_start_us, count(*) AS n, max(flush_us) AS max
+      FROM pipeline GROUP BY 1)""",
+    (PIPELINE_SQL,),
+)
+def stream_flush_p99_partial(spark, sf_dir):
+    """Quantile sketches that merge; `p99_within` holds the p99 against the exact ranks of
+    its window: no further off than 2 % of the rows, or one row."""
+    found = p99_of_sketches(_partials(spark, sf_dir, "flush-partials", flush_sketches, SKETCH_MERGES))
+    counts = flush_counts(pipeline_events(spark, sf_dir)).withColumnRenamed("n", "times")
+    below = F.sum(F.when(F.col("flush_us") < F.col("p99"), F.col("times")).otherwise(0))
+    upto = F.sum(F.when(F.col("flush_us") <= F.col("p99"), F.col("times")).otherwise(0))
+    slack, wanted = F.greatest(F.lit(1.0), F.col("n") * 0.02), F.col("n") * 0.99
+    within = (F.col("below") <= wanted + slack) & (F.col("upto") >= wanted - slack)
+    return (
+        found.join(counts, ["window_start_us", "window_end_us"])
+        .groupBy("window_start_us", "window_end_us", "n", "max")
+        .agg(below.alias("below"), upto.alias("upto"))
+        .select("window_start_us", "window_end_us", "n", "max", within.alias("p99_within"))
+    )

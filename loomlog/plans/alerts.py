@@ -35,11 +35,16 @@ def alert_rates(
     """
     if watermark:
         events = events.withWatermark("at", watermark)
+    return rates_of_sums(alert_sums(events, window, slide))
+
+
+def alert_sums(events: DataFrame, window: str = WINDOW, slide: str | None = None) -> DataFrame:
+    """The sums behind `alert_rates` per window `w`; sums of parts add up to the whole's."""
     spans = F.window("at", window, slide) if slide else F.window("at", window)
     reason, rows = F.col("drop_reason"), F.col("rows")
     ingest = F.col("source") == "ingest"
     failed = (F.col("source") == "query") & F.col("status").between(500, 599)
-    sums = events.groupBy(spans.alias("w")).agg(
+    return events.groupBy(spans.alias("w")).agg(
         _sum_where(reason == "flush_error", rows).alias("flush_error_rows"),
         _sum_where(reason == "flush_panic", rows).alias("flush_panic_rows"),
         _sum_where(reason == "buffer_full", rows).alias("buffer_full_rows"),
@@ -48,6 +53,9 @@ def alert_rates(
         _sum_where(ingest & (F.col("status") == 429), F.lit(1)).alias("refused"),
         _sum_where(ingest, F.lit(1)).alias("requests"),
     )
+
+
+def rates_of_sums(sums: DataFrame) -> DataFrame:
     share = F.col("refused").cast("double") / F.nullif(F.col("requests"), F.lit(0)).cast("double")
     return sums.select(
         *_window_bounds(F.col("w")),
@@ -63,6 +71,42 @@ def alert_rates(
     )
 
 
+#: How partial sums of one window become one: the columns of `alert_sums`.
+RATE_MERGES = {
+    name: F.sum
+    for name in (
+        "flush_error_rows", "flush_panic_rows", "buffer_full_rows", "clamped_rows", "query_5xx", "refused", "requests",
+    )
+}
+
+#: Size of a quantile sketch: its ranks are off by about 0.7 % of a window's rows.
+SKETCH_SIZE = 400
+
+
+def flush_sketches(events: DataFrame, window: str = WINDOW, k: int = SKETCH_SIZE) -> DataFrame:
+    """Per window `w`: number and maximum of `flush_us`, and a quantile sketch that merges."""
+    return (
+        events.where(F.col("flush_us").isNotNull())
+        .groupBy(F.window("at", window).alias("w"))
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.max("flush_us").alias("max"),
+            F.kll_sketch_agg_bigint("flush_us", F.lit(k)).alias("sketch"),
+        )
+    )
+
+
+#: The columns of `flush_sketches`.
+SKETCH_MERGES = {
+    "n": F.sum, "max": F.max, "sketch": lambda name: F.kll_merge_agg_bigint(name, F.lit(SKETCH_SIZE)),
+}
+
+
+def p99_of_sketches(sketches: DataFrame) -> DataFrame:
+    """p99 per window, within the sketch's error of rank; `n` and `max` are exact."""
+    p99 = F.kll_sketch_get_quantile_bigint("sketch", F.lit(0.99).cast("double"))
+    return sketches.select(*_window_bounds(F.col("w")), "n", p99.alias("p99"), "max")
+
+
 def flush_p99(events: DataFrame, window: str = WINDOW) -> DataFrame:
     """Exact p99 of `flush_us` per window, on a table."""
     summary = latency_summary(

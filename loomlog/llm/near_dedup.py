@@ -16,13 +16,17 @@ similarity of their whole shingle sets:
 1. Equal texts become one node.
 2. In each bucket all texts are compared with a pivot, not with each other;
    three choices of pivots, by band, keep a group of copies from hanging on one.
-3. Links make classes. What is left are the pairs of a bucket in different
-   classes. The members of a bucket outside its largest class meet the others,
-   first in parts and then, for what has not been linked by then, all of them; those
-   whose samples agree well enough are compared. Of pairs at the threshold itself 1
-   in 20 fails here (at 0.82 1 in 75, at 0.85 1 in 1000), if no chain links it.
-
-Defined cases: words are what white space separates, in lower case; a text of
+3. Links make classes. Where a bucket still holds several, its members are compared
+   with its centre: the member that agrees best with what most members drew. Copies
+   that were each changed elsewhere differ from one another, but not from the text
+   they were made from. The same is done among the members outside its largest class.
+4. What is left are the pairs of a bucket in different classes. The members outside
+   its largest class meet the others inside tasks, block by block: those whose samples
+   agree well enough are compared, until their classes are one. Of pairs at the threshold itself 1 in 20 fails here (at 0.82 1 in 75, at
+   0.85 1 in 1000), if no chain links it.
+
+Defined cases: texts of any length are compared by all their shingles; of members equally
+central the one with the largest node number is taken. Words are what white space separates, in lower case; a text of
 fewer than five words has one shingle of all its words; null and empty texts
 have none and are equal to each other only. Repeated rows and null ids are rows
 like others; a class is named by its smallest id (null if it has none). Other
@@ -32,15 +36,15 @@ columns are ignored, whatever their names. An empty table gives no classes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import in_bytes, map_texts, stored, text_of
+from loomlog.llm.common import arrow_rows, in_bytes, map_texts, stored, text_of
 from loomlog.llm.components import components
 from loomlog.llm.exact_dedup import one_row_each
 
@@ -49,30 +53,30 @@ SIMILARITY = 0.8
 BANDS = 20
 ROWS = 6
 PIVOTS = 3
-#: Members of a bucket that meet in each round, about; 0: all.
-MEETINGS = (8, 64, 0)
 #: Slots of the table of document frequencies (2 ** SLOT_BITS).
 SLOT_BITS = 18
 #: Draws that samples choose from, by hash.
 DRAW_BITS = 16
+#: Members of a block, bytes of a block of whole sets, members compared at once.
+BLOCK_MEMBERS, BLOCK_BYTES, MEETING = 1024, 4 << 20, 128
 #: Shingles sampled at once.
 CHUNK = 1024
 #: Words whose hashes a task remembers.
 REMEMBERED = 500_000
 
 
-@dataclass
-class WordHashes:
-    known: dict[str, int] = field(default_factory=dict)
+class WordHashes(dict):
+    """Hashes of words, computed when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").lower().split()
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for word in set(words).difference(known):
-            known[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self) > REMEMBERED:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -100,14 +104,13 @@ def weighted_shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, n
 
 class Sampler:
     """Improved consistent weighted sampling: r, c ~ Gamma(2, 1) and b ~ U(0, 1) per
-    shingle and sample, taken by hash from a table of draws."""
+    shingle and sample; r and c are taken by hash from a table of draws, b from other
+    bits of the hash."""
 
     def __init__(self, bands: int = BANDS, rows: int = ROWS, seed: int = 1):
         rng = np.random.default_rng(seed)
         n = 1 << DRAW_BITS
         self.r = rng.gamma(2.0, 1.0, n).astype(np.float32)
-        self.per_r = 1 / self.r
-        self.b = rng.random(n, np.float32)
         self.ln_c = np.log(rng.gamma(2.0, 1.0, n)).astype(np.float32)
         self.bands, self.rows = bands, rows
         self.factor = rng.integers(1 << 62, size=bands * rows).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,9 +125,11 @@ class Sampler:
         sample = np.zeros(many, np.uint64)
         for at in range(0, len(keys), CHUNK):
             some = keys[at : at + CHUNK]
-            draw = ((some[:, None] * self.factor) >> np.uint64(64 - DRAW_BITS)).astype(np.int32)
-            r, b = self.r.take(draw), self.b.take(draw)
-            t = np.floor(ln[at : at + CHUNK, None] * self.per_r.take(draw) + b)
+            bits = some[:, None] * self.factor
+            draw = (bits >> np.uint64(64 - DRAW_BITS)).astype(np.int32)
+            b = (bits >> np.uint64(24)).astype(np.uint32).astype(np.float32) * np.float32(2.0**-32)
+            r = self.r.take(draw)
+            t = np.floor(ln[at : at + CHUNK, None] / r + b)
             ln_a = self.ln_c.take(draw) - r * (t - b + 1)
             low = ln_a.argmin(0)
             each = np.arange(many)
@@ -192,56 +197,172 @@ def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     return in_bytes(both).mapInPandas(compare, "a bigint, b bigint, similarity double")
 
 
-def unlike(one: Column, two: Column) -> Column:
-    """In how many samples two sketches differ."""
-    total = F.lit(0)
-    for i in range(-(-BANDS * ROWS // 16)):
-        x = F.get(one, F.lit(i)).bitwiseXOR(F.get(two, F.lit(i)))
-        x = x.bitwiseOR(F.shiftright(x, 1))
-        x = x.bitwiseOR(F.shiftright(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        total = total + F.bit_count(x)
-    return total
-
-
 def most_unlike(threshold: float) -> int:
     """As many samples differ at most in 19 of 20 pairs of that similarity."""
     many, differ = BANDS * ROWS, (1 - threshold) * 15 / 16
     return int(many * differ + 1.645 * (many * differ * (1 - differ)) ** 0.5)
 
 
-def left_over(
-    members: DataFrame, sketches: DataFrame, classes: DataFrame, meet: int, threshold: float
-) -> DataFrame:
-    """Pairs (a, b) of a bucket in different classes that may be links: one stands
-    outside the bucket's largest class, and their sketches are alike enough.
-
-    With `meet`, members meet in parts of about so many, dealt by hash; 0: all meet.
-    """
+def divided(members: DataFrame, sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, node, class, sketch, main: the members of buckets with several classes; `main`
+    in the bucket's largest class."""
     now = members.join(classes.hint("merge"), "node", "left").withColumn("class", F.coalesce("class", "node"))
     sizes = now.groupBy("key", "class").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(
-        F.max(F.struct("n", "class")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("classes")
-    )
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "class"))["class"].alias("most"), F.count("*").alias("classes"))
     now = now.join(largest.where("classes > 1").hint("merge"), "key")
-    parts = F.ceil(F.col("n") / meet) if meet else F.lit(1)
-    now = stored(
-        now.join(sketches.hint("merge"), "node").select(
-            "key", "node", "class", "sketch", (F.col("class") == F.col("most.class")).alias("main"),
-            F.pmod(F.xxhash64(F.lit(meet), "node"), parts).alias("part"),
+    return stored(
+        now.join(sketches.hint("merge"), "node").select("key", "node", "class", "sketch", (F.col("class") == F.col("most")).alias("main")),
+        "near-divided",
+    )
+
+
+def with_centre(now: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's central member and those of other classes.
+
+    Central is who agrees in most samples with what most members drew: of copies that
+    were each changed in another place, the text they were made from. Linear in members.
+    """
+    each = F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1))
+    drawn = F.transform(
+        each,
+        lambda i: F.struct(
+            i.alias("at"),
+            F.call_function("shiftright", F.get("sketch", F.floor(i / 16).cast("int")), (i % 16 * 4).cast("int"))
+            .bitwiseAND(F.lit(15)).alias("value"),
         ),
-        "near-meeting",
     )
-    one, two = now.where("NOT main").alias("one"), now.alias("two")
+    samples = now.select("key", "node", "class", F.inline(drawn))
+    counts = samples.groupBy("key", "at", "value").agg(F.count("*").alias("n"))
+    usual = counts.groupBy("key", "at").agg(F.max(F.struct("n", "value"))["value"].alias("usual"))
+    agree = samples.join(usual.hint("merge"), ["key", "at"]).groupBy("key", "node", "class").agg(
+        F.count_if(F.col("value") == F.col("usual")).alias("agree")
+    )
+    centre = agree.groupBy("key").agg(F.max(F.struct("agree", "node", "class")).alias("centre"))
+    pairs = now.select("key", "node", "class").join(centre.hint("merge"), "key").where("class != centre.class")
+    return pairs.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
+
+
+def in_blocks(rows: DataFrame, size: Column, limit: int, *fields: str) -> DataFrame:
+    """key, part, rest, members: the members of each bucket, dealt by hash into blocks of
+    about `limit` together; `rest` where one stands outside the bucket's largest class."""
+    totals = rows.groupBy("key").agg(F.ceil(F.sum(size) / limit).alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
     return (
-        one.join(
-            two.hint("merge"),
-            (F.col("one.key") == F.col("two.key"))
-            & (F.col("one.part") == F.col("two.part"))
-            & (F.col("one.class") != F.col("two.class"))
-            & (unlike(F.col("one.sketch"), F.col("two.sketch")) <= most_unlike(threshold)),
-        )
-        .select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"))
-        .distinct()
+        rows.join(totals.hint("merge"), "key")
+        .groupBy("key", part.alias("part"))
+        .agg(F.max(~F.col("main")).alias("rest"), F.collect_list(F.struct("node", "class", "main", "sketch", *fields)).alias("members"))
+    )
+
+
+def meetings(blocks: DataFrame) -> DataFrame:
+    """Pairs of blocks of a bucket, each once, of which one holds members of the rest.
+
+    What is joined are blocks: their members meet inside a task, and only what is found
+    leaves it.
+    """
+    blocks = stored(blocks, "near-blocks")
+    one, two = blocks.where("rest").alias("one"), blocks.alias("two")
+    once = ~F.col("two.rest") | (F.col("one.part") <= F.col("two.part"))
+    return one.join(two.hint("merge"), (F.col("one.key") == F.col("two.key")) & once).select(
+        "one.key", F.col("one.members").alias("one"), F.col("two.members").alias("two"), (F.col("one.part") == F.col("two.part")).alias("same")
+    )
+
+
+class Block:
+    """Members as arrays."""
+
+    def __init__(self, members: list[dict]):
+        self.members = members
+        self.node, self.klass = (np.array([m[c] for m in members], np.int64) for c in ("node", "class"))
+        self.main = np.array([m["main"] for m in members], bool)
+        width = max((len(m["sketch"]) for m in members), default=0)
+        self.sketch = np.array([m["sketch"] or [0] * width for m in members], np.int64).reshape(len(members), width).view(np.uint64)
+
+    def close_to(self, other: Block, same: bool, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of members of different classes that differ in at most so many samples,
+        and in how many; neither pairs inside the largest class nor pairs twice."""
+        for at in range(0, len(self.members), MEETING):
+            some = slice(at, at + MEETING)
+            x = self.sketch[some, None] ^ other.sketch[None]
+            x |= x >> np.uint64(1)
+            x |= x >> np.uint64(2)
+            differ = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(2, dtype=np.int64)
+            close = (differ <= most) & (self.klass[some, None] != other.klass) & ~(self.main[some, None] & other.main)
+            if same:
+                close &= self.node[some, None] < other.node
+            i, j = np.nonzero(close)
+            yield i + at, j, differ[i, j]
+
+
+def promising(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Members whose samples agree well enough with another's, by bucket."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            one, two = Block(row["one"]), Block(row["two"])
+            found: set[int] = set()
+            for i, j, _ in one.close_to(two, row["same"], most):
+                found.update(one.node[i].tolist(), two.node[j].tolist())
+            yield arrow_rows([(row["key"], n) for n in found], "key bigint, node bigint")
+
+
+def block_links(batches: Iterator[pa.RecordBatch], most: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links between members of different classes, most alike samples first; once a link
+    has made two classes one, their other members need none."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            one, two = Block(row["one"]), Block(row["two"])
+            found = [np.concatenate(c) for c in zip(*one.close_to(two, row["same"], most))] or [np.zeros(0, np.int64)] * 3
+            up: dict[int, int] = {}
+
+            def top(k: int) -> int:
+                while k in up:
+                    k = up[k]
+                return k
+
+            out = []
+            for n in np.argsort(found[2], kind="stable"):
+                x, y = one.members[found[0][n]], two.members[found[1][n]]
+                a, b = top(x["class"]), top(y["class"])
+                if a == b:
+                    continue
+                sets = [np.frombuffer(m[c], t) for m in (x, y) for c, t in (("keys", np.uint64), ("weights", np.float32))]
+                like = similarity(*sets)
+                if like >= threshold:
+                    up[a] = b
+                    out.append((x["node"], y["node"], like))
+            yield arrow_rows(out, "a bigint, b bigint, similarity double")
+
+
+def left_over(now: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b, similarity) that join the classes left in the buckets.
+
+    Members outside a bucket's largest class meet all others, block by block: first by
+    their samples alone, then, where these agree well enough, by their whole sets.
+    """
+    most = most_unlike(threshold)
+    by_samples = in_bytes(meetings(in_blocks(now, F.lit(1), BLOCK_MEMBERS)))
+    some = by_samples.mapInArrow(lambda b: promising(b, most), "key bigint, node bigint").distinct()
+    some = stored(now.join(some.hint("merge"), ["key", "node"], "left_semi"), "near-promising")
+    sets = some.join(shingles.hint("merge"), "node")
+    size = F.octet_length("keys") + F.octet_length("weights") + 256
+    by_sets = in_bytes(meetings(in_blocks(sets, size, BLOCK_BYTES, "keys", "weights")))
+    return by_sets.mapInArrow(lambda b: block_links(b, most, threshold), "a bigint, b bigint, similarity double")
+
+
+def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes (node, class) with those that `links` (a, b) join made one: only links
+    between classes are followed, not all links again."""
+    own = lambda name: classes.select(F.col("node").alias(name), F.col("class").alias(f"{name}_class"))
+    between = links.select("a", "b").join(own("a").hint("merge"), "a", "left").join(own("b").hint("merge"), "b", "left")
+    between = stored(
+        between.select("a", "b", F.coalesce("a_class", "a").alias("one"), F.coalesce("b_class", "b").alias("two")), "near-between"
+    )
+    larger = components(between.select(F.col("one").alias("a"), F.col("two").alias("b")))
+    larger = larger.select(F.col("node").alias("class"), F.col("class").alias("into"))
+    both = between.select(F.col("a").alias("node")).unionByName(between.select(F.col("b").alias("node"))).distinct()
+    every = classes.unionByName(both.join(classes.hint("merge"), "node", "left_anti").withColumn("class", F.col("node")))
+    return stored(
+        every.join(larger.hint("merge"), "class", "left").select("node", F.coalesce("into", "class").alias("class")), "near-joined"
     )
 
 
@@ -294,6 +415,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> Da
     shingles = stored(
         map_texts(own, "node bigint", shingle, "keys binary, weights binary"), "near-shingles"
     )
+    idf.destroy()  # what used it is stored
     pairs = members.where("node != pivot").select(
         F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
     )
@@ -302,18 +424,12 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> Da
     classes = components(links)
 
     sketches = nodes.select("node", "sketch")
-    for meet in MEETINGS:
-        rest = left_over(members.select("key", "node"), sketches, classes, meet, threshold).join(
-            compared.select("a", "b").hint("merge"), ["a", "b"], "left_anti"
-        )
-        more = stored(verified(rest, shingles), "near-compared")
-        if more.isEmpty() and meet:
-            continue
-        found = more.where(F.col("similarity") >= threshold)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            classes = components(links)
-        compared = compared.unionByName(more)
+    now = divided(members.select("key", "node"), sketches, classes)
+    central = with_centre(now).unionByName(with_centre(now.where("NOT main"))).distinct()
+    central = verified(central.join(compared.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), shingles)
+    classes = joined(classes, stored(central.where(F.col("similarity") >= threshold), "near-central"))
+    now = divided(members.select("key", "node"), sketches, classes)
+    classes = joined(classes, stored(left_over(now, shingles, threshold), "near-left-over"))
     classes = (
         nodes.join(classes.hint("merge"), "node", "left")
         .withColumn("class", F.coalesce("class", "node"))

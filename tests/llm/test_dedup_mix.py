@@ -160,3 +160,40 @@ def test_mix_of_hot_size_and_nulls(spark):
     assert got.count() == 5001
     assert got.where(F.col("size") == 0).select("copies").first()[0] == 0
     assert got.groupBy().agg(F.sum("copies")).first()[0] == 7500
+
+
+def test_copies_that_were_each_changed_elsewhere_are_one_class(documents):
+    """Most pairs of them are below the threshold; the text they came from is near to all."""
+    rng = random.Random(3)
+    base, rows = words(rng, 300), []
+    for i in range(120):
+        copy = list(base)
+        for place in rng.sample(range(300), rng.randrange(1, 12)):
+            copy[place] = f"new{i}"
+        rows.append((i, " ".join(copy)))
+    rows += [(500, " ".join(base)), (501, " ".join(words(rng, 300)))]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(documents(*rows)).collect()}
+    want = brute_classes(rows)
+    assert len(set(want.values())) < 40 and sum(got[i] == c for i, c in want.items()) >= 0.97 * len(want)
+    assert got[501] == 501
+
+
+def test_members_left_over_meet_block_by_block(spark, monkeypatch):
+    """Pairs that no pivot joins are found whatever the size of the blocks."""
+    import numpy as np
+
+    keys = {n: np.arange(n // 3 * 100, n // 3 * 100 + 50, dtype=np.uint64) for n in range(60)}  # classes of three
+    weights = np.ones(50, np.float32)
+    shingles = spark.createDataFrame(
+        [(n, k.tobytes(), weights.tobytes()) for n, k in keys.items()], "node bigint, keys binary, weights binary"
+    )
+    sampler = near_dedup.Sampler()
+    sketch = {n: sampler.bands_of(k, weights)[1].tolist() for n, k in keys.items()}
+    schema = "key bigint, node bigint, class bigint, sketch array<bigint>, main boolean"
+    now = spark.createDataFrame([(n % 2, n, n, sketch[n], n < 2) for n in keys], schema)
+    for members, size in ((1024, 4 << 20), (4, 900)):
+        monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", members)
+        monkeypatch.setattr(near_dedup, "BLOCK_BYTES", size)
+        found = near_dedup.left_over(now, shingles, 0.8).select("a", "b").collect()
+        joined = {tuple(sorted((r.a, r.b))) for r in found}
+        assert joined == {(n, n + 2) for n in range(0, 60, 3)}, (members, joined)

@@ -44,15 +44,18 @@ def labelled_examples(
 def document_frequencies(
     docs: DataFrame, vocabulary: dict[str, int], terms: Callable[[str | None], Counter]
 ) -> tuple[int, np.ndarray]:
-    """The number of all documents, and of those that hold each term of the vocabulary."""
-    size = len(vocabulary)
+    """The number of all documents, and of those that hold each term of the vocabulary.
+
+    `terms` may have a method `distinct` that gives a text's terms without counts.
+    """
+    size, distinct = len(vocabulary), getattr(terms, "distinct", terms)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df = np.zeros(size + 1, np.int64)
         for batch in batches:
             df[size] += len(batch)
             for text in batch["text"]:
-                df[[vocabulary[t] for t in terms(text) if t in vocabulary]] += 1
+                df[[vocabulary[t] for t in distinct(text) if t in vocabulary]] += 1
         some = np.flatnonzero(df)
         yield pd.DataFrame({"term": some, "n": df[some]})
 

@@ -14,7 +14,8 @@ beginnings, and words that repeat the one before.
 Per document the work is bounded by the sample; nothing is shuffled but the
 document frequencies of the sample's terms.
 
-Defined cases: a null or empty text, and one without a known term, gets the
+Defined cases: texts of any length are read whole; of equally near examples any may
+vote. A null or empty text, and one without a known term, gets the
 share of label 1 as its score. Labels that are null, or that contradict each
 other for an id, are not learned from. Without examples of both labels every
 score is that of the only label, or 0. Columns other than doc_id and text are
@@ -25,7 +26,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -42,34 +45,55 @@ NEIGHBOURS = 0.02
 BLOCK = 512
 #: Words whose terms a task remembers.
 REMEMBERED = 300_000
+#: Marks that may end a word.
+MARKS = ",.;:!?)"
+
+
+class WordTerms(dict):
+    """Of each word its shape and its beginning, found when first asked for."""
+
+    def __missing__(self, word: str) -> tuple[str, str]:
+        stem = word.rstrip(MARKS)
+        if stem.isalpha():  # letters and marks: what the general rule gives, without it
+            shape = "A" if stem.isupper() else "Aa" if stem[0].isupper() else "a"
+            shape += word[len(stem) :]
+            if len(word) - len(stem) > 2:
+                shape = re.sub(r"(.)\1+", r"\1\1", shape)
+            self[word] = found = "#" + shape[:8], word[:3].lower()
+            return found
+        shape = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "Aa" if m[0][0].isupper() else "a", word)
+        shape = re.sub(r"\d+", "0", shape)
+        self[word] = found = "#" + re.sub(r"(.)\1+", r"\1\1", shape)[:8], word[:3].lower()
+        return found
 
 
 @dataclass
 class ShapeTerms:
-    known: dict[str, tuple[str, str]] = field(default_factory=dict)
-
-    def of(self, word: str) -> tuple[str, str]:
-        shape = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "Aa" if m[0][0].isupper() else "a", word)
-        shape = re.sub(r"\d+", "0", shape)
-        return "#" + re.sub(r"(.)\1+", r"\1\1", shape)[:8], word[:3].lower()
+    known: WordTerms = field(default_factory=WordTerms)
 
-    def __call__(self, text: str | None) -> Counter:
+    def of(self, words: Iterable[str]) -> Iterable[str]:
+        """The terms of the words, one after another."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        return chain.from_iterable(map(self.known.__getitem__, words))
+
+    def __call__(self, text: str | None) -> Counter:
         words = (text or "").split()
-        counts: Counter = Counter()
-        for word, n in Counter(words).items():
-            if (terms := self.known.get(word)) is None:
-                terms = self.known[word] = self.of(word)
-            counts[terms[0]] += n
-            counts[terms[1]] += n
+        counts = Counter(self.of(words))
         repeats = sum(map(str.__eq__, words, words[1:]))
         if repeats:
             counts["##repeat"] = repeats
         return counts
 
+    def distinct(self, text: str | None) -> set[str]:
+        words = (text or "").split()
+        found = set(self.of(set(words)))
+        if any(map(str.__eq__, words, words[1:])):
+            found.add("##repeat")
+        return found
+
     def __getstate__(self):
-        return {"known": {}}
+        return {"known": WordTerms()}
 
 
 @dataclass

@@ -5,7 +5,7 @@ out by a sort-merge anti-join against the index (which needs no shuffle, being
 bucketed), and the rest is appended. Texts are never shuffled, only digests.
 Everything is DataFrame expressions.
 
-Defined cases: a null text counts as empty, so all null and empty texts are
+Defined cases: texts of any length count by the digest of all of them. A null text counts as empty, so all null and empty texts are
 equal. Of equal texts in one load the row with the largest doc_id stays (null
 ids last; of fully equal rows one). A text that an earlier load has indexed
 loses to it, whatever its id; a load given again gets the same answer, because

@@ -11,7 +11,8 @@ examples are returned as evidence.
 Per document the work is bounded by the index; nothing is shuffled but the
 document frequencies of the index's terms.
 
-Defined cases: a null or empty text, and one without a term of the index, gets
+Defined cases: texts of any length are read whole. Of equally near examples the one that
+stands first in the index votes. A null or empty text, and one without a term of the index, gets
 the share of toxic labels as its score and no evidence. Labels that are null,
 or that contradict each other for an id, are not learned from. Without examples
 of both labels every score is that of the only label, or 0. Columns other than

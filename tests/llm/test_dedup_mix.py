@@ -168,13 +168,14 @@ def test_copies_that_were_each_changed_elsewhere_are_one_class(documents):
     base, rows = words(rng, 300), []
     for i in range(120):
         copy = list(base)
-        for place in rng.sample(range(300), rng.randrange(1, 12)):
+        for place in rng.sample(range(300), rng.randrange(1, 8)):
             copy[place] = f"new{i}"
         rows.append((i, " ".join(copy)))
     rows += [(500, " ".join(base)), (501, " ".join(words(rng, 300)))]
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(documents(*rows)).collect()}
     want = brute_classes(rows)
-    assert len(set(want.values())) < 40 and sum(got[i] == c for i, c in want.items()) >= 0.97 * len(want)
+    assert list(want.values()).count(0) > 60  # most are one class
+    assert sum(got[i] == c for i, c in want.items()) >= 0.97 * len(want)
     assert got[501] == 501
 
 

@@ -192,6 +192,12 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT)
     )
 
 
+def count_of(spans: Column, kind: str) -> Column:
+    """How many spans are of a kind."""
+    # One parameter alone: Spark gives the place of the element to a second one.
+    return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+
+
 def written(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     kinds = F.array(*[F.lit(k) for k in (*KINDS, "term")])

@@ -162,10 +162,7 @@ def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = disclosure.find(table(spark, sf_dir, "documents"))
-    counts = [
-        F.size(F.filter("base", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{kind}")
-        for n, kind in enumerate(disclosure.KINDS)
-    ]
+    counts = [disclosure.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in disclosure.KINDS]
     return found.select(
         "doc_id",
         *counts,

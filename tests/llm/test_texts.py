@@ -183,6 +183,17 @@ def test_base_spans_equal_brute_force(documents):
     assert {r.doc_id: r.base for r in rows} == {i: brute_spans(t) for i, t in enumerate(texts)}
 
 
+def test_query_counts_each_kind(spark, documents, tmp_path):
+    from loomlog.llm.queries import QUERIES
+
+    texts = ["10.0.0.1 10.0.0.2 10.0.0.3", "a@b.cc c@d.ee", "4111 1111 1111 1111", "+49 (30) 1234567 and 1.2.3.4", None, "none"]
+    documents(*texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op9_disclosure"](spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        kinds = [span.partition(":")[0] for span in brute_spans(text).split(",")]
+        assert [got[i][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [kinds.count(k) for k in ("email", "ip", "card", "phone")]
+
+
 def test_disclosing_terms(clashing):
     rng = random.Random(3)
     noise = lambda n: " ".join(rng.choice(["the", "and", "some", "other", "words"]) for _ in range(n))

@@ -59,8 +59,9 @@ SLOT_BITS = 18
 DRAW_BITS = 16
 #: Members of a block, bytes of a block of whole sets, members compared at once.
 BLOCK_MEMBERS, BLOCK_BYTES, MEETING = 1024, 4 << 20, 128
-#: Shingles sampled at once.
-CHUNK = 1024
+#: Shingles sampled at once, and the most that rounding can move a bound.
+CHUNK = 256
+MARGIN = np.float32(0.01)
 #: Words whose hashes a task remembers.
 REMEMBERED = 500_000
 
@@ -105,16 +106,30 @@ def weighted_shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, n
 class Sampler:
     """Improved consistent weighted sampling: r, c ~ Gamma(2, 1) and b ~ U(0, 1) per
     shingle and sample; r and c are taken by hash from a table of draws, b from other
-    bits of the hash."""
+    bits of the hash.
+
+    A sample is the shingle whose a is least, ln a = ln c - r (t - b + 1) with
+    t = floor(ln w / r + b). As r (t - b) is at most ln w, ln a is at least ln c - r - ln w:
+    only the few shingles for which that is not above the least value known are computed.
+    """
 
     def __init__(self, bands: int = BANDS, rows: int = ROWS, seed: int = 1):
         rng = np.random.default_rng(seed)
         n = 1 << DRAW_BITS
         self.r = rng.gamma(2.0, 1.0, n).astype(np.float32)
         self.ln_c = np.log(rng.gamma(2.0, 1.0, n)).astype(np.float32)
+        self.lowest = self.ln_c - self.r
         self.bands, self.rows = bands, rows
         self.factor = rng.integers(1 << 62, size=bands * rows).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
+    def value(self, bits: np.ndarray, ln: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ln a, of which a sample takes the least, and t."""
+        draw = (bits >> np.uint64(64 - DRAW_BITS)).view(np.int64)
+        b = (bits >> np.uint64(24)).astype(np.uint32).astype(np.float32) * np.float32(2.0**-32)
+        r = self.r.take(draw)
+        t = np.floor(ln / r + b)
+        return self.ln_c.take(draw) - r * (t - b + 1), t
+
     def bands_of(self, keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One 64-bit key per band, and all samples, four bits of each; none without shingles."""
         if not len(keys):
@@ -123,21 +138,27 @@ class Sampler:
         many = len(self.factor)
         best = np.full(many, np.inf, np.float32)
         sample = np.zeros(many, np.uint64)
+        each = np.arange(many)
         for at in range(0, len(keys), CHUNK):
-            some = keys[at : at + CHUNK]
-            bits = some[:, None] * self.factor
-            draw = (bits >> np.uint64(64 - DRAW_BITS)).astype(np.int32)
-            b = (bits >> np.uint64(24)).astype(np.uint32).astype(np.float32) * np.float32(2.0**-32)
-            r = self.r.take(draw)
-            t = np.floor(ln[at : at + CHUNK, None] / r + b)
-            ln_a = self.ln_c.take(draw) - r * (t - b + 1)
-            low = ln_a.argmin(0)
-            each = np.arange(many)
-            value = ln_a[low, each]
-            better = value < best
-            best[better] = value[better]
-            drawn = mixed(some[low] + mixed(t[low, each].astype(np.int64).astype(np.uint64)))
-            sample[better] = drawn[better]
+            some, weight = keys[at : at + CHUNK], ln[at : at + CHUNK]
+            bits = self.factor[:, None] * some
+            low = self.lowest.take((bits >> np.uint64(64 - DRAW_BITS)).view(np.int64))
+            low -= weight
+            first = low.argmin(1)
+            most = np.minimum(best, self.value(bits[each, first], weight[first])[0]) + MARGIN
+            place = np.flatnonzero(low <= most[:, None])
+            if not len(place):
+                continue
+            s, i = np.divmod(place, len(some))
+            value, t = self.value(bits.take(place), weight.take(i))
+            begin = np.flatnonzero(np.diff(s, prepend=-1))
+            least = np.minimum.reduceat(value, begin)
+            found = np.flatnonzero(value == np.repeat(least, np.diff(begin, append=len(s))))
+            found = found[np.diff(s[found], prepend=-1) > 0]  # of equal values the first
+            found = found[value[found] < best[s[found]]]
+            better = s[found]
+            best[better] = value[found]
+            sample[better] = mixed(some[i[found]] + mixed(t[found].astype(np.int64).astype(np.uint64)))
         grid = sample.reshape(self.bands, self.rows)
         keys = np.arange(self.bands, dtype=np.uint64)
         for row in range(self.rows):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,20 @@ def test_members_left_over_meet_block_by_block(spark, monkeypatch):
         found = near_dedup.left_over(now, shingles, 0.8).select("a", "b").collect()
         joined = {tuple(sorted((r.a, r.b))) for r in found}
         assert joined == {(n, n + 2) for n in range(0, 60, 3)}, (members, joined)
+
+
+def test_samples_are_the_least_of_all_shingles():
+    """What the bound passes over changes no sample."""
+    rng = np.random.default_rng(4)
+    sampler = near_dedup.Sampler()
+    for n in (1, 2, 40, 256, 257, 3000):
+        keys = np.sort(rng.integers(1 << 62, size=n).astype(np.uint64))
+        weights = (np.exp(rng.normal(0, 3, n)) + 1e-3).astype(np.float32)
+        ln = np.log(weights)
+        value, t = sampler.value(keys[:, None] * sampler.factor, ln[:, None])
+        low = value.argmin(0)
+        drawn = near_dedup.mixed(keys[low] + near_dedup.mixed(t.min(0, initial=np.inf, where=np.arange(n)[:, None] == low).astype(np.int64).astype(np.uint64)))
+        bands = np.arange(near_dedup.BANDS, dtype=np.uint64)
+        for row in range(near_dedup.ROWS):
+            bands = near_dedup.mixed(bands * np.uint64(0x5851F42D4C957F2D) + drawn.reshape(near_dedup.BANDS, -1)[:, row])
+        assert (sampler.bands_of(keys, weights)[0].view(np.uint64) == bands).all()

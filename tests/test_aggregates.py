@@ -136,3 +136,14 @@ def test_planted_differences_are_found(spark):
     ]
     assert max(shuffled_rows(found)) < 100  # rows of the ranges that differ
     assert diff_stored(left, left.limit(0)).count() == 2000 and diff_stored(left.limit(0), left.limit(0)).count() == 0
+
+
+def test_only_unequal_rows_are_shuffled_where_all_ranges_differ(spark):
+    schema = "id bigint, body string"
+    rows = [(i % 1500, f"text {i % 1500}") for i in range(2000)]  # some stand twice
+    left = spark.createDataFrame(rows, schema)
+    right = spark.createDataFrame([(i, f"{b}!" if i % 100 == 99 else b) for i, b in rows] + [rows[0]], schema)
+    found = diff_stored(left, right, ranges=4)
+    want = diff_tables(left, right)
+    assert found.exceptAll(want).count() == 0 and want.exceptAll(found).count() == 0
+    assert max(shuffled_rows(found)) < 100  # the four ranges hold all rows

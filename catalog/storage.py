@@ -273,6 +273,9 @@ def dedup(spark, sf_dir):
 
 # --- streams --------------------------------------------------------------------
 
+#: Rows in one landed file, about.
+ROWS_A_FILE = 200_000
+
 
 def _landed(spark, sf_dir):
     path = scratch_path(spark, "landing")
@@ -350,10 +353,11 @@ def dedup_stream(spark, sf_dir):
     """The log rows three times over in several files, so copies meet across micro-batches."""
     rows = logs(spark, sf_dir)
     copies = scratch_path(spark, "copies")
+    files = max(2, -(-events(spark, sf_dir).count() // ROWS_A_FILE))
     for _ in range(3):
-        rows.repartition(2, "span_id").write.mode("append").parquet(copies)
+        rows.repartition(files, "span_id").write.mode("append").parquet(copies)
     source = (
-        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(copies)
+        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(copies)
     )
     out = scratch_path(spark, "dedup")
     stream_dedup(

@@ -234,3 +234,16 @@ def test_late_rows_and_open_windows_of_a_stream_count(spark, tmp_path):
     p99 = flush_p99_of_counts(run(flush_counts, ("window_start_us", "flush_us"), "flush"))
     columns = ("window_start_us", "n", "p99", "max")
     assert sorted(p99.select(*columns).collect()) == sorted(flush_p99(rows).select(*columns).collect())
+
+
+def test_landed_files_for_dedup_follow_the_rows(spark, tmp_path, monkeypatch):
+    from catalog import storage
+
+    n = spark.read.parquet(f"{SF}/events.parquet").limit(900).withColumn("event_id", F.monotonically_increasing_id())
+    n.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(storage, "ROWS_A_FILE", 100, raising=False)
+    monkeypatch.setattr(storage, "scratch_path", lambda spark, label: f"{tmp_path}/{label}")
+    rows = storage.dedup_stream(spark, str(tmp_path))
+    assert rows.count() == n.count()
+    assert len(list((tmp_path / "copies").glob("*.parquet"))) == 3 * 9
+    assert len(list((tmp_path / "dedup" / "rows").glob("batch=*"))) == 3

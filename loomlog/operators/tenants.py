@@ -34,6 +34,16 @@ def lookup(requests: DataFrame, keys: DataFrame, how: str, hint: str | None = No
     return keyed.join(known, "_key", how).drop("_key")
 
 
+def asked_keys(keys: DataFrame, requests: DataFrame) -> DataFrame:
+    """The rows of the key table that some request asks for.
+
+    What a join broadcasts then follows the requests of a micro-batch, not the key table.
+    Only hashes of keys are shuffled.
+    """
+    asked = with_key_hash(requests).select("key_hash").where("key_hash IS NOT NULL").distinct()
+    return keys.join(asked.hint("merge"), "key_hash", "left_semi")
+
+
 def resolve_tenant(requests: DataFrame, keys: DataFrame, hint: str | None = None) -> DataFrame:
     """Requests of a known, unrevoked key, with their `tenant_id`."""
     return lookup(with_key_hash(requests), keys, "inner", hint)

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import routing
 from ..operators.mapping import map_resolved, with_record_count
-from ..operators.tenants import live_keys, lookup, resolve_tenant, with_key_hash
+from ..operators.tenants import asked_keys, live_keys, lookup, resolve_tenant, with_key_hash
 from ..schema import LOGS
 from ..session import configure
 from ..sources.files import delete, folders
@@ -81,12 +81,12 @@ def stream_ingest(
         load_id = f"{name}-{query_id(batch, checkpoint)}-{batch_id:012d}"
         if rejects:
             keys = _keys_of_batch(batch, load_keys, f"{rejects}/_keys/load_id={load_id}")
-            routed = routing.route_requests(with_record_count(batch), keys)
+            routed = routing.route_requests(with_record_count(batch), asked_keys(keys, batch))
             refused = routing.dead_letters(routed).select("request_id", "outcome", "status", "arrived_ns")
             refused.write.mode("overwrite").parquet(f"{rejects}/load_id={load_id}")
             known = routing.accepted(routed)
         else:
-            known = resolve_tenant(batch, load_keys())
+            known = resolve_tenant(batch, asked_keys(load_keys(), batch))
         now = F.col("arrived_ns") if now_ns is None else now_ns
         rows = map_resolved(known, now, clamped=True)
         counts = _flush(rows, path, load_id, dead_letters, write, fresh=bool(handled))
@@ -193,7 +193,7 @@ def stream_rejects(
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        found = lookup(with_key_hash(batch), load_keys(), "left")
+        found = lookup(with_key_hash(batch), asked_keys(load_keys(), batch), "left")
         outcome = (
             F.when(~F.col("readable"), "unreadable_body")
             .when(F.col("key_hash").isNull(), "missing_key")

@@ -247,3 +247,18 @@ def test_landed_files_for_dedup_follow_the_rows(spark, tmp_path, monkeypatch):
     assert rows.count() == n.count()
     assert len(list((tmp_path / "copies").glob("*.parquet"))) == 3 * 9
     assert len(list((tmp_path / "dedup" / "rows").glob("batch=*"))) == 3
+
+
+def test_a_stream_joins_the_keys_that_its_requests_ask_for(spark, landing, tmp_path, monkeypatch):
+    handed = []
+
+    def seen(requests, keys, *rest):
+        handed.append(keys.count())
+        return resolve(requests, keys, *rest)
+
+    resolve = ingest.resolve_tenant
+    monkeypatch.setattr(ingest, "resolve_tenant", seen)
+    start(spark, landing, str(tmp_path)).awaitTermination(120)
+    n = read_export_batches(spark, landing, "parquet").count()
+    assert 0 < sum(handed) <= n < fixtures.api_keys(spark, SF).count()
+    assert diff_tables(batch_rows(spark, landing), stored_rows(spark, str(tmp_path))).count() == 0

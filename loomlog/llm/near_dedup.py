@@ -35,12 +35,11 @@ columns are ignored, whatever their names. An empty table gives no classes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +48,8 @@ from loomlog.llm.components import components
 from loomlog.llm.exact_dedup import one_row_each
 
 SHINGLE = 5
+#: Factor of a word's hash from byte to byte; 3 more than a multiple of 8.
+POWER = 0x9E3779B97F4A7C13
 SIMILARITY = 0.8
 BANDS = 20
 ROWS = 6
@@ -59,25 +60,56 @@ SLOT_BITS = 18
 DRAW_BITS = 16
 #: Members of a block, bytes of a block of whole sets, members compared at once.
 BLOCK_MEMBERS, BLOCK_BYTES, MEETING = 1024, 4 << 20, 128
-#: Shingles sampled at once, and the most that rounding can move a bound.
-CHUNK = 256
+#: Shingles sampled at once, hashes looked at together, steps of the table of bounds, the first
+#: value that samples are looked for below (times the total weight), and the most that rounding
+#: can move a bound.
+CHUNK, CELLS, STEPS, AIM = 4096, 1 << 17, 4096, 6.0
 MARGIN = np.float32(0.01)
-#: Words whose hashes a task remembers.
-REMEMBERED = 500_000
-
-
-class WordHashes(dict):
-    """Hashes of words, computed when first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return found
+#: Characters of the texts whose words are hashed together.
+TOGETHER = 1 << 16
+#: What separates words (all of it, in texts of ASCII).
+SPACES = np.isin(np.arange(256), list(b" \t\n\v\f\r\x1c\x1d\x1e\x1f"))
+
+
+class WordHashes:
+    """Hashes of the words of texts, from sums over their bytes in UTF-8 of a number for the
+    byte times a power for its place: all words of some texts at once."""
+
+    def __init__(self):
+        self.byte = np.random.default_rng(5).integers(1 << 63, size=256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        self.power = self.inverse = np.zeros(0, np.uint64)
+
+    def groups(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The numbers of words of some texts, and the hashes of all these words in order."""
+        some, chars = [], 0
+        for text in texts:
+            text = (text or "").lower()
+            if not text.isascii():
+                text = " ".join(text.split())  # other spaces than those of ASCII
+            if some and chars + len(text) > TOGETHER:
+                yield self._hashed(some)
+                some, chars = [], 0
+            some.append(text.encode("utf-8", "surrogatepass"))
+            chars += len(text)
+        if some:
+            yield self._hashed(some)
+
+    def _hashed(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b" ".join((*texts, b"")), np.uint8)  # a space ends each text
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        space = SPACES.take(data)
+        turn = np.flatnonzero(np.not_equal(space[1:], space[:-1])) + 1
+        begin, end = (np.append(0, turn) if not space[0] else turn).reshape(-1, 2).T
+        if len(self.power) < len(data):
+            n = max(len(data), 2 * TOGETHER)
+            self.power, self.inverse = (
+                np.multiply.accumulate(np.full(n, f, np.uint64)) for f in (POWER, pow(POWER, -1, 1 << 64))
+            )
+        total = np.append(np.uint64(0), np.cumsum(self.byte.take(data) * self.power[: len(data)]))
+        return np.diff(np.searchsorted(begin, ends), prepend=0), mixed((total[end] - total[begin]) * self.inverse[begin])
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").lower().split()
-        if len(self) > REMEMBERED:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return next(self.groups([text]))[1]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -89,18 +121,48 @@ def slots(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def weighted_shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the distinct shingles, and their weights."""
-    if not len(words):
-        return np.zeros(0, np.uint64), np.zeros(0, np.float32)
-    n = min(SHINGLE, len(words))
-    count = len(words) - n + 1
+def windows(words: np.ndarray, each: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each n words in a row, and the means of their weights."""
+    count = max(len(words) - n + 1, 0)
     factor = [np.uint64(pow(0x5851F42D4C957F2D, i + 1, 1 << 64)) for i in range(n)]
     keys = mixed(sum((words[i : i + count] * factor[i] for i in range(1, n)), words[:count] * factor[0]))
-    each = idf[slots(words)]
-    weight = sum((each[i : i + count] for i in range(1, n)), each[:count].copy()) / n
-    keys, first, times = np.unique(keys, return_index=True, return_counts=True)
-    return keys, (weight[first] * times).astype(np.float32)
+    return keys, sum((each[i : i + count] for i in range(1, n)), each[:count].copy()) / n
+
+
+def distinct(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and their weights times how often they stand there."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    times = np.append(first[1:], len(keys)) - first
+    return keys[first], (weight[order[first]] * times).astype(np.float32)
+
+
+def shingle_sets(sizes: Iterable[int], words: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of texts with so many words each: sorted hashes of the distinct shingles, and their weights."""
+    each = idf.take(slots(words))
+    keys, weight = windows(words, each, SHINGLE)
+    at = 0
+    for size in sizes:
+        if size >= SHINGLE:
+            here = slice(at, at + size - SHINGLE + 1)
+            yield distinct(keys[here], weight[here])
+        elif size:
+            here = slice(at, at + size)
+            yield distinct(*windows(words[here], each[here], size))
+        else:
+            yield np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        at += size
+
+
+def weighted_shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the distinct shingles of one text, and their weights."""
+    return next(shingle_sets([len(words)], words, idf))
+
+
+def text_shingles(texts: Iterable[str | None], hashes: WordHashes, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for sizes, words in hashes.groups(texts):
+        yield from shingle_sets(sizes.tolist(), words, idf)
 
 
 class Sampler:
@@ -109,64 +171,123 @@ class Sampler:
     bits of the hash.
 
     A sample is the shingle whose a is least, ln a = ln c - r (t - b + 1) with
-    t = floor(ln w / r + b). As r (t - b) is at most ln w, ln a is at least ln c - r - ln w:
-    only the few shingles for which that is not above the least value known are computed.
+    t = floor(ln w / r + b). As r (t - b) is at most ln w, ln a is at least ln c - r - ln w.
+    The draws stand in order of ln c - r: the hash itself tells whether a shingle can come
+    below a value. The least a of a text of total weight W is exponential with mean 1 / W:
+    the shingles that can come below AIM / W are computed, and for the samples whose least
+    is not, those that can come below 8 times as much, until each sample is known.
     """
 
     def __init__(self, bands: int = BANDS, rows: int = ROWS, seed: int = 1):
         rng = np.random.default_rng(seed)
         n = 1 << DRAW_BITS
-        self.r = rng.gamma(2.0, 1.0, n).astype(np.float32)
-        self.ln_c = np.log(rng.gamma(2.0, 1.0, n)).astype(np.float32)
-        self.lowest = self.ln_c - self.r
+        r = rng.gamma(2.0, 1.0, n).astype(np.float32)
+        ln_c = np.log(rng.gamma(2.0, 1.0, n)).astype(np.float32)
+        order = np.argsort(ln_c - r, kind="stable")
+        self.r, self.ln_c = r[order], ln_c[order]
+        lowest = self.ln_c - self.r
+        self.start, self.step = float(lowest[0]), float(lowest[-1] - lowest[0]) / STEPS
+        self.draws = np.searchsorted(lowest, self.start + self.step * np.arange(1, STEPS + 2), "right")
+        self.draws[-2:] = n
         self.bands, self.rows = bands, rows
         self.factor = rng.integers(1 << 62, size=bands * rows).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        self.bits, self.low = np.zeros(CELLS, np.uint32), np.zeros(CELLS + 7, bool)
 
     def value(self, bits: np.ndarray, ln: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """ln a, of which a sample takes the least, and t."""
-        draw = (bits >> np.uint64(64 - DRAW_BITS)).view(np.int64)
-        b = (bits >> np.uint64(24)).astype(np.uint32).astype(np.float32) * np.float32(2.0**-32)
+        """ln a, of which a sample takes the least, and t. The draw is the upper part of
+        the lower half of `bits`, b the upper half."""
+        draw = (bits.astype(np.uint32) >> np.uint32(32 - DRAW_BITS)).astype(np.int64)
+        b = (bits >> np.uint64(32)).astype(np.float32) * np.float32(2.0**-32)
         r = self.r.take(draw)
         t = np.floor(ln / r + b)
         return self.ln_c.take(draw) - r * (t - b + 1), t
 
-    def bands_of(self, keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One 64-bit key per band, and all samples, four bits of each; none without shingles."""
-        if not len(keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def below(self, values: np.ndarray, keys: np.ndarray, samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in `samples` and in `keys`, by sample and then by key, where ln c - r may
+        be at most the key's of `values`."""
+        step = ((values - self.start) / self.step).astype(np.int64).clip(0, STEPS)
+        most = ((self.draws.take(step) << (32 - DRAW_BITS)) - 1).astype(np.uint32)
+        factor, some, found = self.factor[samples].astype(np.uint32)[:, None], keys.astype(np.uint32), []
+        if len(self.bits) < len(some):
+            self.bits, self.low = np.zeros(len(some), np.uint32), np.zeros(len(some) + 7, bool)
+        rows = len(self.bits) // len(some)
+        for at in range(0, len(samples), rows):
+            here = factor[at : at + rows]
+            size = len(here) * len(some)
+            bits, low = (x[:size].reshape(len(here), len(some)) for x in (self.bits, self.low))
+            np.less_equal(np.multiply(here, some, out=bits), most, out=low)
+            self.low[size : size + 7] = False
+            eights = self.low[: (size + 7) // 8 * 8].view(np.uint64)  # most hold none
+            few = np.flatnonzero(eights != 0)
+            place = np.flatnonzero(eights[few].view(bool))
+            found.append(few[place >> 3] * 8 + (place & 7) + at * len(some))
+        place = np.concatenate(found)
+        s = place // len(some)
+        return s, place - s * len(some)
+
+    def samples_of(self, sizes: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """All samples (columns) of texts with so many shingles each, none without."""
+        texts, many = len(sizes), len(self.factor)
+        text, begin = np.repeat(np.arange(texts), sizes), np.cumsum(sizes) - sizes
         ln = np.log(weights).astype(np.float32)
-        many = len(self.factor)
-        best = np.full(many, np.inf, np.float32)
-        sample = np.zeros(many, np.uint64)
-        each = np.arange(many)
-        for at in range(0, len(keys), CHUNK):
-            some, weight = keys[at : at + CHUNK], ln[at : at + CHUNK]
-            bits = self.factor[:, None] * some
-            low = self.lowest.take((bits >> np.uint64(64 - DRAW_BITS)).view(np.int64))
-            low -= weight
-            first = low.argmin(1)
-            most = np.minimum(best, self.value(bits[each, first], weight[first])[0]) + MARGIN
-            place = np.flatnonzero(low <= most[:, None])
-            if not len(place):
-                continue
-            s, i = np.divmod(place, len(some))
-            value, t = self.value(bits.take(place), weight.take(i))
-            begin = np.flatnonzero(np.diff(s, prepend=-1))
-            least = np.minimum.reduceat(value, begin)
-            found = np.flatnonzero(value == np.repeat(least, np.diff(begin, append=len(s))))
-            found = found[np.diff(s[found], prepend=-1) > 0]  # of equal values the first
-            found = found[value[found] < best[s[found]]]
-            better = s[found]
-            best[better] = value[found]
-            sample[better] = mixed(some[i[found]] + mixed(t[found].astype(np.int64).astype(np.uint64)))
-        grid = sample.reshape(self.bands, self.rows)
-        keys = np.arange(self.bands, dtype=np.uint64)
+        first_most = -np.log(np.add.reduceat(weights, begin, dtype=np.float64))
+        sample, unknown = np.zeros((many, texts), np.uint64), np.ones((many, texts), bool)
+        left, aim = np.arange(many), AIM
+        while len(left):
+            most = (first_most + np.log(aim)).astype(np.float32)
+            values = most[text] + ln + MARGIN
+            every = np.minimum.reduceat(values, begin) >= self.start + self.step * STEPS
+            values[~unknown.any(0)[text]] = -np.inf
+            s, i = self.below(values.clip(self.start), keys, left)
+            group = left[s] * texts + text[i]
+            if aim > AIM:
+                s, i, group = (x[unknown.ravel()[group]] for x in (s, i, group))
+            if len(s):
+                value, t = self.value(keys.take(i) * self.factor.take(left.take(s)), ln.take(i))
+                new = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+                least = np.minimum.reduceat(value, new)
+                found = np.flatnonzero(value == np.repeat(least, np.append(new[1:], len(s)) - new))
+                found = found[np.append(True, group[found[1:]] != group[found[:-1]])]  # of equal values the first
+                whose = text[i[found]]
+                found = found[(least <= most[whose]) | every[whose]]
+                known = group[found]
+                sample.ravel()[known] = mixed(keys[i[found]] + mixed(t[found].astype(np.int64).astype(np.uint64)))
+                unknown.ravel()[known] = False
+                left = np.flatnonzero(unknown.any(1))
+            aim *= 8
+        return sample
+
+    def many_bands(self, sets: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What `bands_of` gives for each of `sets`; as many at once as make a chunk."""
+        some, shingles = [], 0
+        for keys, weights in sets:
+            if some and shingles + len(keys) > CHUNK:
+                yield from self._bands(some)
+                some, shingles = [], 0
+            some.append((keys, weights))
+            shingles += len(keys)
+        yield from self._bands(some)
+
+    def _bands(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        sizes = np.array([len(keys) for keys, _ in sets], np.int64)
+        none = np.zeros(0, np.int64)
+        if not sizes.any():
+            yield from ((none, none) for _ in sets)
+            return
+        sample = self.samples_of(sizes[sizes > 0], *map(np.concatenate, zip(*sets))).T
+        grid, many = sample.reshape(-1, self.bands, self.rows), len(self.factor)
+        bands = np.arange(self.bands, dtype=np.uint64)
         for row in range(self.rows):
-            keys = mixed(keys * np.uint64(0x5851F42D4C957F2D) + grid[:, row])
-        bits = np.zeros(-(-many // 16) * 16, np.uint64)
-        bits[:many] = mixed(sample) & np.uint64(15)
-        sketch = (bits.reshape(-1, 16) << np.arange(0, 64, 4, dtype=np.uint64)).sum(1, dtype=np.uint64)
-        return keys.view(np.int64), sketch.view(np.int64)
+            bands = mixed(bands * np.uint64(0x5851F42D4C957F2D) + grid[:, :, row])
+        bits = np.zeros((len(grid), -(-many // 16) * 16), np.uint64)
+        bits[:, :many] = mixed(sample) & np.uint64(15)
+        sketch = (bits.reshape(len(grid), -1, 16) << np.arange(0, 64, 4, dtype=np.uint64)).sum(2, dtype=np.uint64)
+        found = zip(bands.view(np.int64), sketch.view(np.int64))
+        yield from (next(found) if size else (none, none) for size in sizes)
+
+    def bands_of(self, keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One 64-bit key per band, and all samples, four bits of each; none without shingles."""
+        return next(self._bands([(keys, weights)]))
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
@@ -177,8 +298,9 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
         hashes, df = WordHashes(), np.zeros(size + 1, np.int64)
         for batch in batches:
             df[size] += len(batch)
-            for text in batch["text"]:
-                df[np.unique(slots(hashes(text)))] += 1
+            for sizes, words in hashes.groups(batch["text"]):
+                for slot in np.split(slots(words), np.cumsum(sizes)[:-1]):
+                    df[slot] += 1  # once for a slot, however often it stands there
         some = np.flatnonzero(df)
         yield pd.DataFrame({"slot": some, "n": df[some]})
 
@@ -398,7 +520,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> Da
 
     def sample():
         hashes, sampler = WordHashes(), Sampler()
-        return lambda texts: (sampler.bands_of(*weighted_shingles(hashes(t), idf.value)) for t in texts)
+        return lambda texts: sampler.many_bands(text_shingles(texts, hashes, idf.value))
 
     rows = stored(
         map_texts(docs.select("doc_id", "text", digest), "doc_id bigint, digest binary", sample, "bands array<bigint>, sketch array<bigint>"),
@@ -424,8 +546,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> Da
 
     def shingle():
         hashes = WordHashes()
-        sets = lambda t: weighted_shingles(hashes(t), idf.value)
-        return lambda texts: (tuple(part.tobytes() for part in sets(t)) for t in texts)
+        return lambda texts: (tuple(part.tobytes() for part in s) for s in text_shingles(texts, hashes, idf.value))
 
     texts = docs.select("text", digest, F.col("doc_id").alias("id"))
     own = wanted.join(

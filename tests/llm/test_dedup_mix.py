@@ -216,3 +216,27 @@ def test_samples_are_the_least_of_all_shingles():
         for row in range(near_dedup.ROWS):
             bands = near_dedup.mixed(bands * np.uint64(0x5851F42D4C957F2D) + drawn.reshape(near_dedup.BANDS, -1)[:, row])
         assert (sampler.bands_of(keys, weights)[0].view(np.uint64) == bands).all()
+
+
+def test_texts_are_hashed_and_sampled_together(monkeypatch):
+    """Few calls for many texts, few shingles computed, and the results those of each text alone."""
+    rng = random.Random(11)
+    texts = [" ".join(words(rng, 100)) for _ in range(100)]
+    texts += ["", None, "one", " \x1fa\tb ", "Ein\u2003Wort \u00c4h\xa0da\x85zu \U0001f600", "one one one one one one", "  ", " ".join(words(rng, 9000))]
+    hashes, sampler, idf = near_dedup.WordHashes(), near_dedup.Sampler(), np.linspace(1, 9, 1 << near_dedup.SLOT_BITS)
+    computed, value = [], sampler.value
+    monkeypatch.setattr(sampler, "value", lambda bits, ln: computed.append(len(bits)) or value(bits, ln))
+    together = list(sampler.many_bands(near_dedup.text_shingles(texts, hashes, idf)))
+    monkeypatch.undo()
+    sets = [near_dedup.weighted_shingles(hashes(t), idf) for t in texts]
+    shingles = sum(len(k) for k, _ in sets)
+    assert len(computed) < 30 and sum(computed) < 0.4 * shingles * near_dedup.BANDS * near_dedup.ROWS
+    for (bands, sketch), one in zip(together, sets, strict=True):
+        alone = sampler.bands_of(*one)
+        assert bands.tolist() == alone[0].tolist() and sketch.tolist() == alone[1].tolist()
+    known = {}
+    for text in texts:
+        of_text, plain = hashes(text).tolist(), (text or "").lower().split()
+        assert len(of_text) == len(plain)
+        assert all(known.setdefault(w, h) == h for w, h in zip(plain, of_text))
+    assert len(set(known.values())) == len(known)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,6 +13,9 @@ from pyspark.sql.types import StructType
 
 from loomlog.session import scratch_path
 
+#: Megabytes of a batch of texts: Spark and its Python worker each hold one several times over.
+TEXTS_MB = 2
+
 
 def stored(frame: DataFrame, label: str) -> DataFrame:
     """`frame` written to the cluster's shared scratch folder and read again.
@@ -50,6 +54,28 @@ def in_bytes(frame: DataFrame, megabytes: int = 16) -> DataFrame:
     return frame
 
 
+def hand_back() -> None:
+    """Give memory that this Python process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries do it by themselves
+    if trim:
+        trim(0)
+
+
+def handing_back(per_task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`per_task`, after which its worker hands freed memory back to the system.
+
+    Spark keeps the workers for later tasks: what they held on to would stand beside the
+    executor in every later stage, also in those that run no Python.
+    """
+
+    def task(batches: Iterator) -> Iterator:
+        yield from per_task(batches)
+        hand_back()
+
+    return task
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
@@ -64,6 +90,12 @@ def arrow_rows(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=pa.schema(fields))
 
 
+def few_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A frame of a few rows that the driver holds. They go as Arrow: as Python objects they
+    would start Python workers of another kind in every executor, which stay."""
+    return spark.createDataFrame(pa.Table.from_batches([arrow_rows(rows, ddl)]))
+
+
 def map_texts(
     docs: DataFrame, keep: str, make: Callable[[], Callable[[list[str | None]], Iterable[tuple]]], new: str
 ) -> DataFrame:
@@ -83,4 +115,5 @@ def map_texts(
             columns += [pa.array([r[i] for r in rows], schema.field(c).type) for i, c in enumerate(added)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return in_bytes(docs.select(*dict.fromkeys([*kept, "text"]))).mapInArrow(per_task, f"{keep}, {new}")
+    texts = in_bytes(docs.select(*dict.fromkeys([*kept, "text"])), TEXTS_MB)
+    return texts.mapInArrow(handing_back(per_task), f"{keep}, {new}")

@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import stored, text_of
+from loomlog.llm.common import few_rows, stored, text_of
 from loomlog.session import scratch_path
 
 
@@ -39,7 +39,7 @@ class DigestIndex:
         self.path = path or scratch_path(spark, "digest-index")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if not spark.catalog.tableExists(name):
-            self._write(spark.createDataFrame([], "digest binary, keep_id bigint"), "errorifexists")
+            self._write(few_rows(spark, [], "digest binary, keep_id bigint"), "errorifexists")
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)

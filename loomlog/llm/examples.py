@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import in_bytes
+from loomlog.llm.common import TEXTS_MB, few_rows, handing_back, in_bytes
 
 
 def labelled_examples(
@@ -35,7 +35,7 @@ def labelled_examples(
     drawn = [labels.where(F.col("y") == y).orderBy(*order).limit(per_class).collect() for y in (0, 1)]
     of = {r["doc_id"]: r["y"] for rows in drawn for r in rows}
     # Only the texts of the drawn ids move; an id that repeats gives one of them.
-    ids = docs.sparkSession.createDataFrame([(i,) for i in of], "doc_id bigint")
+    ids = few_rows(docs.sparkSession, [(i,) for i in of], "doc_id bigint")
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     text_of = {r["doc_id"]: r["text"] for r in texts.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
     return totals.get(1, 0) / max(1, sum(totals.values())), [(i, y, text_of[i]) for i, y in of.items()]
@@ -59,7 +59,7 @@ def document_frequencies(
         some = np.flatnonzero(df)
         yield pd.DataFrame({"term": some, "n": df[some]})
 
-    counted = in_bytes(docs.select("text")).mapInPandas(count, "term bigint, n bigint")
+    counted = in_bytes(docs.select("text"), TEXTS_MB).mapInPandas(handing_back(count), "term bigint, n bigint")
     df = np.zeros(size + 1, np.int64)
     for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect():
         df[r["term"]] = r["n"]

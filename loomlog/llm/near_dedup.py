@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import arrow_rows, in_bytes, map_texts, stored, text_of
+from loomlog.llm.common import TEXTS_MB, arrow_rows, hand_back, handing_back, in_bytes, map_texts, stored, text_of
 from loomlog.llm.components import components
 from loomlog.llm.exact_dedup import one_row_each
 
@@ -304,10 +304,11 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
         some = np.flatnonzero(df)
         yield pd.DataFrame({"slot": some, "n": df[some]})
 
-    counted = in_bytes(docs.select("text")).mapInPandas(count, "slot bigint, n bigint")
+    counted = in_bytes(docs.select("text"), TEXTS_MB).mapInPandas(handing_back(count), "slot bigint, n bigint")
     df = np.zeros(size + 1, np.int64)
     for r in counted.groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
         df[r["slot"]] = r["n"]
+    hand_back()  # the rows
     return np.log((df[size] + 1.0) / (df[:size] + 1.0)) + 1.0
 
 
@@ -337,7 +338,7 @@ def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "similarity": found})
 
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    return in_bytes(both).mapInPandas(compare, "a bigint, b bigint, similarity double")
+    return in_bytes(both, TEXTS_MB).mapInPandas(handing_back(compare), "a bigint, b bigint, similarity double")
 
 
 def most_unlike(threshold: float) -> int:
@@ -483,13 +484,13 @@ def left_over(now: DataFrame, shingles: DataFrame, threshold: float) -> DataFram
     their samples alone, then, where these agree well enough, by their whole sets.
     """
     most = most_unlike(threshold)
-    by_samples = in_bytes(meetings(in_blocks(now, F.lit(1), BLOCK_MEMBERS)))
-    some = by_samples.mapInArrow(lambda b: promising(b, most), "key bigint, node bigint").distinct()
+    by_samples = in_bytes(meetings(in_blocks(now, F.lit(1), BLOCK_MEMBERS)), TEXTS_MB)
+    some = by_samples.mapInArrow(handing_back(lambda b: promising(b, most)), "key bigint, node bigint").distinct()
     some = stored(now.join(some.hint("merge"), ["key", "node"], "left_semi"), "near-promising")
     sets = some.join(shingles.hint("merge"), "node")
     size = F.octet_length("keys") + F.octet_length("weights") + 256
-    by_sets = in_bytes(meetings(in_blocks(sets, size, BLOCK_BYTES, "keys", "weights")))
-    return by_sets.mapInArrow(lambda b: block_links(b, most, threshold), "a bigint, b bigint, similarity double")
+    by_sets = in_bytes(meetings(in_blocks(sets, size, BLOCK_BYTES, "keys", "weights")), TEXTS_MB)
+    return by_sets.mapInArrow(handing_back(lambda b: block_links(b, most, threshold)), "a bigint, b bigint, similarity double")
 
 
 def joined(classes: DataFrame, links: DataFrame) -> DataFrame:

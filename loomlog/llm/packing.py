@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomlog.llm.common import arrow_schema, in_bytes
+from loomlog.llm.common import TEXTS_MB, arrow_schema, handing_back, in_bytes
 from loomlog.llm.word_ids import WordTokenizer
 
 TIERS = (512, 1024, 2048, 4096)
@@ -33,6 +33,8 @@ END_ID = 2
 #: Tokens that wait for a window before they are packed.
 POOL_TOKENS = 4_000_000
 STEP_TOKENS = 1 << 17
+#: Pieces handed to Spark at once, of at most 4096 tokens each.
+ROWS_OUT = 500
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint,"
     " sequence_id bigint, offset bigint, window int, step_group bigint"
@@ -40,7 +42,7 @@ PIECES = (
 
 
 class Packer:
-    """Packs (doc_id, ids) into windows; `packed` gives pieces as rows of PIECES."""
+    """Packs (doc_id, ids) into windows; `packed` gives pieces as batches of PIECES."""
 
     def __init__(self, tiers: tuple[int, ...], step_tokens: int, first_id: int, schema: pa.Schema):
         self.tiers, self.step_tokens, self.first_id = sorted(tiers), step_tokens, first_id
@@ -117,11 +119,13 @@ class Packer:
             self.close(window, pieces)
             self.waiting -= window
 
-    def packed(self) -> pa.RecordBatch:
+    def packed(self) -> Iterator[pa.RecordBatch]:
+        """What was given out, some rows at a time: a whole pool would be in memory thrice."""
         rows, self.rows = self.rows, []
-        columns = zip(*rows) if rows else [()] * len(self.schema)
-        arrays = [pa.array(c, f.type) for c, f in zip(columns, self.schema)]
-        return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
+        for i in range(0, len(rows), ROWS_OUT):
+            columns = zip(*rows[i : i + ROWS_OUT])
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, self.schema)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=self.schema)
 
 
 def pack(
@@ -153,8 +157,8 @@ def pack(
                     packer.add(doc_id, tokens + end)
                 if packer.waiting >= POOL_TOKENS:
                     packer.pack()
-                yield packer.packed()
+                yield from packer.packed()
         packer.pack(last=True)
-        yield packer.packed()
+        yield from packer.packed()
 
-    return in_bytes(docs.select("doc_id", "text")).mapInArrow(per_task, PIECES)
+    return in_bytes(docs.select("doc_id", "text"), TEXTS_MB).mapInArrow(handing_back(per_task), PIECES)

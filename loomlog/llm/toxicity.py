@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomlog.llm.common import in_bytes, map_texts
+from loomlog.llm.common import TEXTS_MB, hand_back, handing_back, in_bytes, map_texts
 from loomlog.llm.examples import document_frequencies, labelled_examples, logistic
 from loomlog.llm.nearest import BlockMaxIndex, Prefixes
 
@@ -118,6 +118,7 @@ def fit(
             others = np.flatnonzero(near != i)[:k]  # its own vote left out
             share[i] = vote(toxic[near[others]], cos[others])
     weights = np.where(toxic == 1, prior / toxic.sum(), (1 - prior) / (1 - toxic).sum()) * len(ids)
+    hand_back()  # the examples, now weights in the index
     return Model(index, ids, toxic, k, prior, logistic(share, toxic, weights), terms)
 
 
@@ -139,4 +140,4 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataF
             clean = [s < threshold for s, _ in model.score(batch.column("text").to_pylist())]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return in_bytes(docs).mapInArrow(per_task, docs.schema)
+    return in_bytes(docs, TEXTS_MB).mapInArrow(handing_back(per_task), docs.schema)

@@ -12,8 +12,10 @@ from __future__ import annotations
 import json
 from array import array
 
+from loomlog.llm.common import hand_back
+
 #: Words whose ids a task remembers.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Marks that may end a word; an apostrophe can begin a part of its own.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The last of the Latin letters that are taken as they stand.
@@ -96,6 +98,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.known = Words(self.tokenizer) if words_stand_alone(definition) else None
+        hand_back()  # the file as read, several times the tokenizer
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.known is None:
